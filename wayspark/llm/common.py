@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -70,13 +71,13 @@ def words(text: Column, separator: str = SPACES) -> Column:
 
 
 def bits(hashes: DataFrame, column: str, log2: int = 20) -> Column:
-    """A bitmap of fixed size over 64-bit hashes as a scalar: an array of 2**log2 / 64 longs, whatever the
-    input. A set bit may be a false alarm, a clear bit is certain."""
+    """A bitmap of fixed size over 64-bit hashes, as a constant: 2**log2 / 64 longs, whatever the input. A set
+    bit may be a false alarm, a clear bit is certain. Only the bitmap itself passes the driver."""
     word, bit = F.shiftrightunsigned(column, 64 - log2 + 6), F.pmod(F.col(column), F.lit(64)).cast("int")
     some = hashes.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
-    every = hashes.sparkSession.range(2 ** (log2 - 6)).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
-    full = some.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda e: e["b"]).alias("bitmap")).scalar()
+    full = dict(some.groupBy("w").agg(F.bit_or("b").alias("b")).collect())
+    # one constant string, folded into an array by the optimizer
+    return F.from_json(F.lit(json.dumps([full.get(i, 0) for i in range(2 ** (log2 - 6))])), "array<bigint>")
 
 
 def in_bits(bitmap: Column, h: Column, log2: int = 20) -> Column:

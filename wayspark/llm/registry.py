@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from wayspark.llm import mixing, quality_rules, simhash_dedup
+from wayspark.llm import decontamination, mixing, quality_rules, simhash_dedup
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {
+    "op2_decontamination": decontamination.OP2_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
