@@ -41,6 +41,10 @@ def windows(benchmark: DataFrame) -> DataFrame:
     return each.select(F.array_join("w", " ").alias("key"), "len", "item_id", "w").distinct()
 
 
+def _whole_hash(wins: DataFrame, n: int) -> DataFrame:
+    return wins.select(let(_hashes(F.col("w")), lambda h: _gram_hash(h, F.lit(0), n)).alias("h"))
+
+
 def _candidates(tokens: Column, full: Column, short: dict[int, Column]) -> Column:
     """(s, len, key) of the windows of a document that may be windows of the benchmark."""
     run = SPAN - GRAM + 1
@@ -60,11 +64,13 @@ def _candidates(tokens: Column, full: Column, short: dict[int, Column]) -> Colum
 
     def every(h: Column) -> Column:
         parts = [keyed(hits(h), SPAN)]
-        for n, bitmap in short.items():
-            places = F.filter(F.sequence(F.lit(0), F.size(h) - n), lambda i, n=n, bitmap=bitmap: in_bits(bitmap, _gram_hash(h, i, n), LOG2_BITS))
-            parts.append(keyed(F.when(F.size(h) >= n, places).otherwise(none), n))
+        parts += [keyed(places(h, n, bitmap), n) for n, bitmap in short.items()]
         return F.concat(*parts)
 
+    def places(h: Column, n: int, bitmap: Column) -> Column:
+        found = F.filter(F.sequence(F.lit(0), F.size(h) - n), lambda i: in_bits(bitmap, _gram_hash(h, i, n), LOG2_BITS))
+        return F.when(F.size(h) >= n, found).otherwise(none)
+
     return let(_hashes(tokens), every)
 
 
@@ -74,7 +80,8 @@ def _judged(docs: DataFrame, benchmark: DataFrame, uid: str, n_words: str, cand:
     wins = written(windows(benchmark), "windows")
     # a full window is one run of nine grams: its smallest is the benchmark's fingerprint
     prints = wins.where(F.col("len") == SPAN).select(let(_hashes(F.col("w")), lambda h: F.array_min(_grams(h, GRAM))).alias("h")).distinct()
-    short = {r[0]: bits(wins.where(F.col("len") == r[0]).select(let(_hashes(F.col("w")), lambda h, n=r[0]: _gram_hash(h, F.lit(0), n)).alias("h")).distinct(), "h", LOG2_BITS) for r in wins.where(F.col("len") < SPAN).select("len").distinct().orderBy("len").collect()}
+    lengths = [r[0] for r in wins.where(F.col("len") < SPAN).select("len").distinct().orderBy("len").collect()]  # at most 12
+    short = {n: bits(_whole_hash(wins.where(F.col("len") == n), n), "h", LOG2_BITS) for n in lengths}
     full = bits(prints, "h", LOG2_BITS)
     tokens = words(ascii_lower(F.col("text")), SEPARATOR)
     found = let(tokens, lambda t: F.struct(F.size(t).cast("long").alias("n"), _candidates(t, full, short).alias("c")))
