@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wayspark.llm import decontamination, mixing, pii, quality_rules, simhash_dedup
+from wayspark.llm import decontamination, mixing, pii, quality_classifier, quality_rules, simhash_dedup
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op2_decontamination": decontamination.op2_decontamination,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
