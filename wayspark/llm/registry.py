@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayspark.llm import decontamination, mixing, pii, quality_classifier, quality_rules, simhash_dedup
+from wayspark.llm import decontamination, mixing, pii, quality_classifier, quality_rules, secrets, simhash_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -11,9 +11,11 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
     "op8_pii": pii.op8_pii,
     "op9_mixing": mixing.op9_mixing,
+    "op10_secret_scans": secrets.op10_secret_scans,
 }
 ORACLES = {
     "op2_decontamination": decontamination.OP2_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op10_secret_scans": secrets.OP10_SQL,
 }
