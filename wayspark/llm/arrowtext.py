@@ -47,7 +47,7 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def _power(name: str, n: int) -> np.ndarray:
+def power(name: str, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
         base = _P if name == "up" else np.uint64(pow(int(_P), -1, 2**64))
@@ -61,8 +61,8 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     """A 64-bit polynomial hash of each byte range, mixed; equal ranges have equal hashes anywhere."""
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power("down", n + 1)[starts]
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power("up", n), out=sums[1:])
+    h = (sums[ends] - sums[starts]) * power("down", n + 1)[starts]
     return mix(h)
 
 

@@ -26,7 +26,7 @@ from wayspark.llm import arrowtext as A
 from wayspark.llm.common import arrow_rows, ascii_lower, fold_in, table, words, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-MAX_ROWS = 8_000
+MAX_ROWS = 2_000
 ROUNDS = 2
 #: Pieces of more bytes are left out.
 MAX_PIECE = 16
@@ -79,42 +79,43 @@ def vocabulary(path: str = VOCABULARY) -> Vocabulary:
 
 
 def _pieces(block: np.ndarray, vocab: Vocabulary) -> np.ndarray:
-    """For words of one length, rows of bytes: [word, end, length - 1] -> piece number, or the vocabulary's size."""
+    """For words of one length, rows of bytes: [length - 1, end, word] -> piece number, or the vocabulary's size."""
     count, n = block.shape
-    ids = np.full((count, n, MAX_PIECE), vocab.size, dtype=np.int32)
-    flat = np.ascontiguousarray(block).ravel()
-    rows = np.arange(count)[:, None] * n
+    most = min(n, MAX_PIECE)
+    ids = np.full((most, n, count), vocab.size, dtype=np.int32)
+    sums = np.zeros((n + 1, count), dtype=np.uint64)
+    np.cumsum((block.T.astype(np.uint64) + np.uint64(1)) * A.power("up", n)[:, None], axis=0, out=sums[1:])
+    down = A.power("down", n)[:, None]
     for size, (known, number) in vocab.by_length.items():
-        if size > n:
-            continue
-        starts = (rows + np.arange(n - size + 1)[None, :]).ravel()
-        h = A.hashes(flat, starts, starts + size)
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        hit = np.where(known[at] == h, number[at], vocab.size)
-        ids[:, size - 1 :, size - 1] = hit.reshape(count, -1)
+        if size <= n:
+            h = A.mix((sums[size:] - sums[: n - size + 1]) * down[: n - size + 1]).ravel()
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            ids[size - 1, size - 1 :] = np.where(known[at] == h, number[at], vocab.size).reshape(-1, count)
     return ids
 
 
 def _forward(block: np.ndarray, vocab: Vocabulary, probabilities: np.ndarray) -> np.ndarray:
-    """Log-likelihoods [word, language]. Positions are taken a stretch at a time and rescaled as they go."""
+    """Log-likelihoods [word, language]. Pieces are looked up a stretch of positions at a time; sums are
+    rescaled every few positions, so no word is too long."""
     count, n = block.shape
-    langs = probabilities.shape[0]
     table_ = np.ascontiguousarray(probabilities.T)
-    ring = np.zeros((count, MAX_PIECE, langs))  # alpha at j-1, j-2, ...
-    ring[:, 0] = 1.0
-    scale = np.zeros((count, langs))
+    alpha = np.zeros((n + 1, count, table_.shape[1]))
+    alpha[0] = 1.0
+    scale = np.zeros(alpha.shape[1:])
     stretch = 8192
     for lo in range(0, n, stretch):
         first = max(0, lo - MAX_PIECE + 1)
         ids = _pieces(block[:, first : min(n, lo + stretch)], vocab)
         for j in range(lo, min(n, lo + stretch)):
-            alpha = (ring * table_[ids[:, j - first]]).sum(axis=1)
-            ring[:, 1:] = ring[:, :-1]
-            ring[:, 0] = alpha
+            for m in range(min(j + 1, MAX_PIECE)):
+                own = ids[m, j - first] if m < len(ids) else None
+                if own is not None and own.min() < vocab.size:
+                    alpha[j + 1] += alpha[j - m] * table_[own]
             if j % 8 == 7:
-                ring /= alpha[:, None, :]
-                scale += np.log(alpha)
-    return scale + np.log(ring[:, 0])
+                top = alpha[j + 1].copy()
+                alpha[max(0, j + 1 - MAX_PIECE) : j + 2] /= top
+                scale += np.log(top)
+    return scale + np.log(alpha[n])
 
 
 def _blocks(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -182,8 +183,9 @@ def _expected(rows: pd.DataFrame, model: Model) -> pd.DataFrame:
         weight = own["n"].to_numpy(dtype=float)
         total = np.zeros(vocab.size + 1)
         for part, block in _blocks(data, starts, lengths):
-            ids = _pieces(block, vocab)
             count, n = block.shape
+            ids = np.full((count, n, MAX_PIECE), vocab.size, dtype=np.int32)
+            ids[:, :, : min(n, MAX_PIECE)] = _pieces(block, vocab).transpose(2, 1, 0)
             prob = p[ids]
             scale, backward = np.zeros((count, n + 1)), np.zeros((count, n + 1))  # log alpha, log beta
             for j in range(1, n + 1):
