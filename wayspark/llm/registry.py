@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from wayspark.llm import decontamination, language_id, mixing, pii, quality_classifier, quality_rules, secrets, simhash_dedup
+from wayspark.llm import decontamination, language_id, mixing, pii, quality_classifier, quality_rules, secrets, simhash_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_url_filters": url_filter.op3_url_filters,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_language_id": language_id.op6_language_id,
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
