@@ -203,14 +203,14 @@ def turns(nodes: DataFrame) -> DataFrame:
 def prune_keep(turned: DataFrame, degrees_: float) -> DataFrame:
     """The inner vertices kept when a way is thinned: turns add up, and where their sum reaches the limit the
     vertex stays and the sum is cut back by the limit's multiples. An ordered fold over each way's vertices."""
-    limit = F.round(F.radians(F.lit(float(degrees_))), 9)
-    rows = turned.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.round("turn", 9).alias("turn")))).alias("p"))
+    limit = F.radians(F.lit(float(degrees_)))
+    rows = turned.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "turn"))).alias("p"))
     zero = F.struct(F.lit(0.0).alias("acc"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(a: Column, x: Column) -> Column:
         total = a["acc"] + x["turn"]
         hit = F.abs(total) >= limit - 1e-15
-        rest = F.signum(total) * (F.abs(total) - limit * F.floor(F.abs(total) / limit))
+        rest = total - F.signum(total) * F.floor(F.abs(total) / limit + 1e-12) * limit
         return F.struct(F.when(hit, rest).otherwise(total).alias("acc"), F.when(hit, F.concat(a["kept"], F.array(x["pos"]))).otherwise(a["kept"]).alias("kept"))
 
     return rows.select("way_id", F.explode(F.aggregate("p", zero, step)["kept"]).alias("pos"))

@@ -256,9 +256,9 @@ def turn_penalty(spark, sf):
     return G.turns(_native(spark, sf).nodes).groupBy("way_id").agg(F.round(F.sum(F.abs("turn")), 6).alias("penalty"))
 
 
-@query("with recursive" + TURN.removeprefix("with") + """, th as (select round(radians(10e0), 9) as th), ot as (select way_id, pos, round(turn, 9) as turn, row_number() over (partition by way_id order by pos) as k from tn),
-  f(way_id, pos, k, acc, kept) as (select way_id, pos, k, case when abs(turn) >= th - 1e-15 then sign(turn) * (abs(turn) - th * floor(abs(turn) / th)) else turn end, abs(turn) >= th - 1e-15 from ot, th where k = 1
-    union all select way_id, pos, k, case when abs(a) >= th - 1e-15 then sign(a) * (abs(a) - th * floor(abs(a) / th)) else a end, abs(a) >= th - 1e-15 from (select o.*, f.acc + o.turn as a from f join ot o on o.way_id = f.way_id and o.k = f.k + 1), th)
+@query("with recursive" + TURN.removeprefix("with") + """, th as (select radians(10e0) as th), ot as (select *, row_number() over (partition by way_id order by pos) as k from tn),
+  f(way_id, pos, k, acc, kept) as (select way_id, pos, k, case when abs(turn) >= th - 1e-15 then turn - sign(turn) * floor(abs(turn) / th + 1e-12) * th else turn end, abs(turn) >= th - 1e-15 from ot, th where k = 1
+    union all select way_id, pos, k, case when abs(a) >= th - 1e-15 then a - sign(a) * floor(abs(a) / th + 1e-12) * th else a end, abs(a) >= th - 1e-15 from (select o.*, f.acc + o.turn as a from f join ot o on o.way_id = f.way_id and o.k = f.k + 1), th)
   select way_id, pos from f where kept""")
 def prune_keep(spark, sf):
     return G.prune_keep(G.turns(_native(spark, sf).nodes), OPTIONS.prune_angle_deg)
