@@ -40,7 +40,7 @@ def visit_order(spark, sf):
     return n.select("way_id", "pos", F.sum(F.col("starts").cast("long")).over(w).alias("visit"), "again")
 
 
-PROGRESS = "case when t <= 5 then 3e-1 * t / 5e0 when t <= 8 then 3e-1 + 1e-1 * (t - 5e0) / 3e0 else least(97e-2, 4e-1 + 57e-2 * (1e0 - exp(-(t - 8e0) / 10e0))) end"
+PROGRESS = "case when t <= 5 then 15e-2 * t / 5e0 when t <= 8 then 15e-2 + 1e-1 * (t - 5e0) / 3e0 else least(97e-2, 25e-2 + 72e-2 * (1e0 - exp(-25e-1 * (t - 8e0) / 20e0))) end"
 
 
 @query(f"select event_id, round({PROGRESS}, 9) as progress from (select event_id, (event_id % 400) / 1e1 as t from events)")
