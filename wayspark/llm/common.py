@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import json
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayspark.storage import shared_dir, written
+
+__all__ = ["arrow_rows", "ascii_lower", "bits", "fold_in", "free_name", "in_bits", "let", "shared_dir", "table", "words", "written"]
+
 #: White space of the contracts: space and \x09-\x0D.
 SPACES = r"[ \t-\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,31 +20,6 @@ BROADCAST_ROWS = 200_000
 #: Arrow batches of documents stay small, so that batches of very long texts fit a worker.
 ARROW_ROWS = 1000
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; where it is unset, a folder of our own in
-    local mode, and one beside the warehouse elsewhere."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local"):
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_wayspark"
-    if not at:
-        app = spark.sparkContext.applicationId
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="wayspark-")
-            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
-        at = "file://" + _local[app]
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayspark-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
