@@ -110,9 +110,9 @@ def roles(graph: Graph) -> DataFrame:
 A, B = ("a_ax", "a_ay", "a_bx", "a_by_"), ("b_ax", "b_ay", "b_bx", "b_by_")
 
 
-def segment_pairs(edges: DataFrame, reach: float, size: float) -> DataFrame:
+def segment_pairs(edges: DataFrame, reach: float, size: float, more: tuple[str, ...] = ()) -> DataFrame:
     """Each pair of edges (a_eid < b_eid) of which boxes grown by half the reach share a cell; columns a_*, b_*."""
-    cols = ["eid", "way_id", "u", "v", "ax", "ay", "bx", "by_"]
+    cols = ["eid", "way_id", "u", "v", "ax", "ay", "bx", "by_", *more]
     side = lambda p: cells(edges.select(*(F.col(c).alias(f"{p}_{c}") for c in cols)), size, f"{p}_ax", f"{p}_ay", f"{p}_bx", f"{p}_by_", reach / 2)
     pairs = side("a").join(side("b"), ["cx", "cy"]).where("a_eid < b_eid")
     # a pair that shares several cells is taken in the least of them
@@ -123,10 +123,29 @@ def segment_pairs(edges: DataFrame, reach: float, size: float) -> DataFrame:
 def road_pairs(edges: DataFrame, distance: float, angle: float) -> DataFrame:
     """Pairs of edges of different ways within the distance whose chords differ by no more than the angle:
     distance, angle, overlap, lengths and score."""
-    e = edges.where(f"{geo.dist('ax', 'ay', 'bx', 'by_')} >= 1e-6")
-    pairs = segment_pairs(e, distance, max(4 * distance, 1.0)).where("a_way_id <> b_way_id")
-    pairs = pairs.select("*", F.expr(geo.segment_segment(A, B)).alias("d"), F.expr(f"least({geo.overlap(A, B)}, {geo.overlap(B, A)})").alias("lap"), F.expr(geo.acute_deg(A, B)).alias("deg"), F.expr(geo.dist(*A)).alias("la"), F.expr(geo.dist(*B)).alias("lb"))
-    return pairs.where((F.col("d") <= distance) & (F.col("deg") <= angle)).withColumn("score", F.col("lap") - 3.0 * F.col("d") - 0.5 * F.col("deg"))
+    e = edges.withColumn("dx", F.col("bx") - F.col("ax")).withColumn("dy", F.col("by_") - F.col("ay"))
+    e = e.withColumn("len", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where("len >= 1e-6")
+    pairs = segment_pairs(e, distance, max(4 * distance, 1.0), ("dx", "dy", "len")).where("a_way_id <> b_way_id")
+    # what costs least goes first: boxes, then angles, then distances
+    gap = lambda c, d: F.greatest(F.least(f"a_{c}", f"a_{d}"), F.least(f"b_{c}", f"b_{d}")) - F.least(F.greatest(f"a_{c}", f"a_{d}"), F.greatest(f"b_{c}", f"b_{d}")) <= distance
+    turn = F.expr("abs(atan2(a_dx * b_dy - a_dy * b_dx, a_dx * b_dx + a_dy * b_dy))")
+    deg = F.degrees(F.least(turn, F.pi() - turn))
+    pairs = pairs.where(gap("ax", "bx") & gap("ay", "by_")).withColumn("deg", deg).where(F.col("deg") <= angle)
+
+    def end(q: str, x: str, y: str, s: str) -> Column:
+        """The distance of an end of q to segment s, of which the direction and length are columns."""
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.expr(f"(({q}_{x} - {s}_ax) * {s}_dx + ({q}_{y} - {s}_ay) * {s}_dy) / ({s}_len * {s}_len)")))
+        return F.sqrt(F.pow(F.col(f"{q}_{x}") - F.col(f"{s}_ax") - t * F.col(f"{s}_dx"), 2) + F.pow(F.col(f"{q}_{y}") - F.col(f"{s}_ay") - t * F.col(f"{s}_dy"), 2))
+
+    def lap(q: str, s: str) -> Column:
+        """How much of s the projection of q covers."""
+        p0, p1 = (F.expr(f"(({q}_{x} - {s}_ax) * {s}_dx + ({q}_{y} - {s}_ay) * {s}_dy) / {s}_len") for x, y in (("ax", "ay"), ("bx", "by_")))
+        return F.greatest(F.lit(0.0), F.least(F.col(f"{s}_len"), F.greatest(p0, p1)) - F.greatest(F.lit(0.0), F.least(p0, p1)))
+
+    d = F.least(end("a", "ax", "ay", "b"), end("a", "bx", "by_", "b"), end("b", "ax", "ay", "a"), end("b", "bx", "by_", "a"))
+    pairs = pairs.withColumn("d", d).where(F.col("d") <= distance)
+    pairs = pairs.withColumn("lap", F.least(lap("a", "b"), lap("b", "a"))).withColumnRenamed("a_len", "la").withColumnRenamed("b_len", "lb")
+    return pairs.drop("a_dx", "a_dy", "b_dx", "b_dy").withColumn("score", F.col("lap") - 3.0 * F.col("d") - 0.5 * F.col("deg"))
 
 
 def way_pairs(pairs: DataFrame) -> DataFrame:
