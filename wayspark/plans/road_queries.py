@@ -246,7 +246,7 @@ def split_edges(spark, sf):
 TURN = SQL + f""", tn as (select way_id, pos, {geo.signed_turn('px', 'py', 'x', 'y', 'nx', 'ny')} as turn from (select way_id, pos, x, y, lag(x) over w as px, lag(y) over w as py, lead(x) over w as nx, lead(y) over w as ny from nat window w as (partition by way_id order by pos)) where px is not null and nx is not null)"""
 
 
-@query(TURN + "select way_id, pos, round(turn, 6) as turn from tn")
+@query(TURN + "select way_id, pos, round(turn, 6) + 0e0 as turn from tn")
 def turn_angles(spark, sf):
     return G.turns(_native(spark, sf).nodes).select("way_id", "pos", *_r(6, turn="turn"))
 
