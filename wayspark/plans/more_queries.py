@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayspark.config import INCLUDED_HIGHWAYS
 from wayspark.functions import geo
 from wayspark.operators import graph as G
 from wayspark.plans.registry import query
@@ -105,3 +106,24 @@ BOX = SQL + "select way_id, round(min(lon), 9) as west, round(min(lat), 9) as so
 def collection_bounds(spark, sf):
     p = roads.included(roads.way_points(spark, sf)).groupBy("way_id").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
     return p.select("way_id", *_r(9, west="w", south="s", east="e", north="n", mid_lon="(w + e) / 2", mid_lat="(s + n) / 2"))
+
+
+BOXES = SQL + ", b as (select way_id, min(lon) as w, min(lat) as s, max(lon) as e, max(lat) as n from inc group by way_id) "
+
+
+@query(BOXES + """select way_id, '[out:json][timeout:25];' || chr(10) || '(' || chr(10) || '  way["highway"~"^(""" + "|".join(INCLUDED_HIGHWAYS) + """)$"](' || printf('%.5f,%.5f,%.5f,%.5f', s, w, n, e) || ');' || chr(10) || ');' || chr(10) || 'out body;' || chr(10) || '>;' || chr(10) || 'out skel qt;' || chr(10) as request from b""")
+def overpass_ql_text(spark, sf):
+    """The request that would fetch each way's box."""
+    b = roads.included(roads.way_points(spark, sf)).groupBy("way_id").agg(F.min("lat").alias("s"), F.min("lon").alias("w"), F.max("lat").alias("n"), F.max("lon").alias("e"))
+    return b.select("way_id", roads.overpass_query(F.col("s"), F.col("w"), F.col("n"), F.col("e"), INCLUDED_HIGHWAYS).alias("request"))
+
+
+@query(SQL + "select way_id, min(highway) as highway, count(*) filter (pos % 7 <> 3) as points, count(*) filter (pos % 7 <> 3 and pos % 5 <> 2) as ids, round(sum(lon) filter (pos % 7 <> 3), 5) as lon from inc group by way_id having count(*) filter (pos % 7 <> 3) >= 2")
+def inline_geometry_ways(spark, sf):
+    """Ways as elements that hold their points, some without a place or a reference."""
+    p = roads.included(roads.way_points(spark, sf))
+    point = F.struct("pos", F.when(F.col("pos") % 7 != 3, F.col("lat")).alias("lat"), "lon", F.when(F.col("pos") % 5 != 2, F.col("node_id")).alias("ref"))
+    e = p.groupBy("way_id").agg(F.min("highway").alias("h"), F.array_sort(F.collect_list(point)).alias("geometry"))
+    e = e.select(F.lit("way").alias("type"), F.col("way_id").alias("id"), F.create_map(F.lit("highway"), F.col("h")).alias("tags"), "geometry")
+    lon = F.aggregate("coordinates", F.lit(0.0), lambda a, c: a + c[0])
+    return roads.inline_ways(e).select("way_id", "highway", F.size("coordinates").cast("long").alias("points"), F.size("node_ids").cast("long").alias("ids"), F.round(lon, 5).alias("lon"))

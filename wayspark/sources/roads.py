@@ -7,7 +7,9 @@ read into the same shapes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from wayspark.functions import geo
 
 LON0, LAT0 = "139.7671e0", "35.6812e0"
 FEATURES = "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:array<array<double>>>,properties:struct<osm_way_id:string,highway:string,osm_node_ids:array<string>>>>"
-ELEMENTS = "elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>>"
+ELEMENTS = "elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>,geometry:array<struct<lat:double,lon:double,ref:bigint>>>>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +102,23 @@ def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("stroke_id", "i", F.get("embedding", 2 * F.col("i")).cast("double").alias("x"), F.get("embedding", 2 * F.col("i") + 1).cast("double").alias("y"))
 
 
+def overpass_query(south: Column, west: Column, north: Column, east: Column, highways: tuple[str, ...] | None = None, timeout_s: int = 25) -> Column:
+    """The request for all ways with a highway tag, or with one of ``highways``, in a box, and for their nodes."""
+    one_of = "" if highways is None else '~"^(' + "|".join(re.escape(h) for h in highways) + ')$"'
+    box = F.concat_ws(",", *(F.format_string("%.5f", c) for c in (south, west, north, east)))
+    return F.concat(F.lit(f'[out:json][timeout:{timeout_s}];\n(\n  way["highway"{one_of}]('), box, F.lit(");\n);\nout body;\n>;\nout skel qt;\n"))
+
+
+def inline_ways(elements: DataFrame) -> DataFrame:
+    """Ways of ``elements(type, id, tags, geometry)`` whose points stand in them: way_id, highway, coordinates
+    and node_ids. Points without a place go, and ways with fewer than two; a point without a reference keeps
+    its place, so there may be fewer ids than points."""
+    points = F.filter("geometry", lambda g: g["lat"].isNotNull() & g["lon"].isNotNull())
+    ways = elements.where("type = 'way'").select(F.col("id").alias("way_id"), F.element_at("tags", "highway").alias("highway"), points.alias("p")).where(F.size("p") >= 2)
+    refs = F.filter(F.transform("p", lambda g: g["ref"]), lambda r: r.isNotNull())
+    return ways.select("way_id", "highway", F.transform("p", lambda g: F.array(g["lon"], g["lat"])).alias("coordinates"), refs.alias("node_ids"))
+
+
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of annealing restarts, five restarts to a run."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
