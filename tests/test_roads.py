@@ -4,10 +4,11 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayspark.config import GraphOptions, SearchOptions
+from wayspark.config import GraphOptions, SearchOptions, Weights
 from wayspark.functions import geo
 from wayspark.operators import candidates as C
 from wayspark.operators import graph as G
@@ -145,12 +146,55 @@ def test_search_small_grid_city(spark):
     got = R.search(s, g, n.count(), o).orderBy("rank").collect()
     assert got and got[0]["rank"] == 1 and got[0].score_total < 1 and len(got[0].edge_ids) > 3
     assert [r.score_total for r in R.search(s, g, n.count(), o).orderBy("rank").collect()] == [r.score_total for r in got]
-    j = R.joint(s.withColumn("part", F.lit(1)), g, n.count(), o).collect()
-    assert len(j) == 1 and j[0].unreachable == 0
+    two = s.withColumn("part", F.lit(1)).unionByName(s.withColumn("x", F.col("x") + 3).withColumn("part", F.lit(2)))
+    two = two.unionByName(two.where("part = 1 and i = 0").withColumn("part", F.lit(3)))  # a point has no route
+    alone = s.withColumn("part", F.lit(1)).withColumn("sketch_id", F.lit(5).cast("long"))
+    j = R.place(two.unionByName(alone), g, n.count(), o).orderBy("sketch_id", "rank").collect()
+    both, one = [r for r in j if r.sketch_id == 1], [r for r in j if r.sketch_id == 5]
+    assert both and all(len(r.part_edges) == 3 == len(r.offsets) and r.part_edges[2] == [] and r.edge_ids == r.part_edges[0] for r in both)
+    assert all(r.total_length_m > r.route_length_m > 0 for r in both)
+    assert one[0].offsets is None and one[0].part_edges == [one[0].edge_ids]
     with pytest.raises(ValueError, match="graph_too_many_nodes"):
         R.search(s, g, 35_001)
 
 
+def test_joint_score_and_offsets():
+    import pandas as pd
+
+    nodes = pd.DataFrame({"id": list("abcd"), "x": [0.0, 100.0, 100.0, 0.0], "y": [0.0, 0.0, 100.0, 100.0]})
+    roads = R.Roads(nodes, pd.DataFrame({"eid": [1, 2, 3, 4], "u": list("abcd"), "v": list("bcda")}))
+    bases, w, t = [np.array([[0.0, 0.0], [100.0, 0.0]]), np.array([[100.0, 0.0], [100.0, 50.0]])], Weights(), (0.0, 0.0, 0.0, 1.0)
+    each = [R.single(b, roads, w)(t, ())["score_total"] for b in bases]
+    zero, off = ((0.0, 0.0),) * 2, ((3.0, 4.0), (0.0, 0.0))
+    joint = R.together(bases, roads, w)
+    assert joint(t, zero)["score_total"] == pytest.approx((2 * each[0] + each[1]) / 3)
+    moved = R.single(bases[0] + [3.0, 4.0], roads, w)(t, ())["score_total"]
+    assert joint(t, off)["score_total"] == pytest.approx((2 * moved + each[1]) / 3 + 0.5 * 5 / roads.diagonal)
+    trace = R.anneal(joint, roads.span, t, 7, SearchOptions(iterations=30, stride=1), 2)
+    assert len(trace) == 31 and any(s["offsets"] != zero for s in trace)
+    best = [s["score_total"] for s in trace]
+    assert min(best) <= best[0] and trace == R.anneal(joint, roads.span, t, 7, SearchOptions(iterations=30, stride=1), 2)
+
+
+def test_starts_are_filled(spark):
+    n = points(spark, {k: [(x * 50, k * 50, 10 * k + x) for x in range(3)] for k in range(3)})
+    g = R.shared(spark, G.connect(G.native(n)), n.count())
+    lines = spark.createDataFrame([(9, [(0, 0.0, 0.0), (1, 1.0, 0.0)])], "sketch_id long, points array<struct<i:int,x:double,y:double>>")
+    o = SearchOptions(restarts=4, grid_positions=1, grid_angles=1, grid_scales=1)
+    got = R.starts(lines, g, o).orderBy("restart_index").collect()
+    assert [r.restart_index for r in got] == [0, 1, 2, 3] and len({r.tx for r in got}) == 4
+    a, b = ({"tx": 3.0, "ty": 4.0, "theta": 1.0, "scale": 1.0}, {"tx": 0.0, "ty": 9.0, "theta": -2.5, "scale": 3.0})
+    d = spark.createDataFrame([(a, b)], "a struct<tx:double,ty:double,theta:double,scale:double>, b struct<tx:double,ty:double,theta:double,scale:double>")
+    assert d.select(C.distance(F.col("a"), F.col("b"), 50.0, 60.0)).first()[0] == pytest.approx(R.apart(tuple(a.values()), tuple(b.values()), 50.0, 60.0))
+
+
+def test_requests_and_inline_ways(spark):
+    q = spark.range(1).select(roads.overpass_query(*map(F.lit, (1.0, 2.0, 3.0, 4.0)), ("a.b", "c")).alias("q"), roads.overpass_query(*map(F.lit, (1.0, 2.0, 3.0, 4.0))).alias("all")).first()
+    assert 'way["highway"~"^(a\\.b|c)$"](1.00000,2.00000,3.00000,4.00000);' in q.q and 'way["highway"](1.0' in q.all
+    e = spark.createDataFrame([("way", 1, {"highway": "x"}, [(1.0, 2.0, 5), (None, 2.0, 6), (3.0, 4.0, None)]), ("way", 2, None, [(1.0, 2.0, 5)]), ("node", 3, None, None)], "type string, id long, tags map<string,string>, geometry array<struct<lat:double,lon:double,ref:bigint>>")
+    assert [tuple(r) for r in roads.inline_ways(e).collect()] == [(1, "x", [[2.0, 1.0], [4.0, 3.0]], [5])]
+
+
 def test_options():
     assert GraphOptions.from_dict({"snap_endpoints": True, "unknown": 1}).snap_endpoints
     with pytest.raises(ValueError):

@@ -72,6 +72,7 @@ class SearchOptions:
     step_scale: float = 0.12
     stride: int = 5
     step_floor: float = 0.03
+    local_trials: int = 4
     max_candidates: int = 5
     score_margin: float = 0.015
     diversity_min: float = 0.12
@@ -80,4 +81,4 @@ class SearchOptions:
     grid_scales: int = 3
 
     def __post_init__(self) -> None:
-        _checked(self, {"restarts": (1, 64), "iterations": (1, 20_000), "max_candidates": (1, 20)})
+        _checked(self, {"restarts": (1, 64), "iterations": (1, 20_000), "max_candidates": (1, 20), "local_trials": (1, 50)})

@@ -20,6 +20,16 @@ def viable(pool: DataFrame, margin: float) -> DataFrame:
     return pool.withColumn("pool_best", best).where((F.col("unreachable") < 0.5) & (F.col("score_total") <= F.col("pool_best") + margin))
 
 
+def good(pool: DataFrame, least: int, margin: float = 0.5) -> DataFrame:
+    """Candidates near their run's best, if there are ``least`` of them; else the better half, ``least`` at least."""
+    w = W.partitionBy("run_id")
+    near = F.col("score_total") <= F.min("score_total").over(w) + margin
+    row, n, k = pool.columns, F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*ORDER))
+    o = pool.select("*", near.alias("_near"), n.alias("_n"), k.alias("_k")).withColumn("_good", F.count_if("_near").over(w))
+    half = F.greatest(F.lit(least), F.floor(F.col("_n") / 2))
+    return o.where(F.when(F.col("_good") >= least, F.col("_near")).when(F.col("_n") > 1, F.col("_k") <= half).otherwise(True)).select(row)
+
+
 def distance(a: Column, b: Column, span_x: float, span_y: float) -> Column:
     raw = F.abs(a["theta"] - b["theta"])
     turn = F.least(raw, 2 * F.pi() - raw) / F.pi()

@@ -125,12 +125,7 @@ def grid_transforms(spark, sf):
 
 @query(SQL + ", o as (select *, row_number() over (partition by run_id order by score_total, restart_index, step_index) as k, min(score_total) over (partition by run_id) as best, count(*) over (partition by run_id) as n from trace), q as (select *, sum(case when score_total <= best + 5e-1 then 1 else 0 end) over (partition by run_id) as good from o) select run_id, restart_index, step_index, round(score_total, 6) as score from q where case when good >= 3 then score_total <= best + 5e-1 when n > 1 then k <= greatest(3, cast(floor(n / 2) as bigint)) else true end")
 def grid_quality_filter(spark, sf):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("run_id")
-    o = _trace(spark, sf).select("*", F.row_number().over(w.orderBy(*C.ORDER)).alias("k"), F.min("score_total").over(w).alias("best"), F.count(F.lit(1)).over(w).alias("n"))
-    o = o.withColumn("good", F.count_if(F.expr("score_total <= best + 5e-1")).over(w))
-    return o.where("case when good >= 3 then score_total <= best + 5e-1 when n > 1 then k <= greatest(3, cast(floor(n / 2) as bigint)) else true end").select("run_id", "restart_index", "step_index", *_r(6, score="score_total"))
+    return C.good(_trace(spark, sf), 3).select("run_id", "restart_index", "step_index", *_r(6, score="score_total"))
 
 
 @query("select 'fast' as preset, 5 as seconds, 2 as restarts, 300 as iterations union all select 'normal', 10, 3, 400 union all select 'thorough', 20, 5, 550")
