@@ -30,9 +30,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     Nulls in a or b are no edges; self-loops make a component of one; an empty table gives none. Each round
     is written to the shared folder, so nothing is kept on one executor and lineage stays short.
     """
-    edges = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    alone = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
-    edges = written(edges.where(F.col("a") != F.col("b")).distinct(), "edges")
+    edges = written(edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "edges")
+    alone = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
+    edges = edges.where(F.col("a") != F.col("b"))
     mark = None
     for _ in range(max_rounds):
         edges = written(_stars(_stars(edges, True), False), "stars")
