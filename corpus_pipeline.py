@@ -30,8 +30,8 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix, a row for each document, in order of training position."""
-    return mixing.mix(docs).orderBy("position", "doc_id")
+    """The curriculum: a row for each epoch of a document, in training order; documents not taken stand last."""
+    return mixing.curriculum(docs)
 
 
 STAGES = [

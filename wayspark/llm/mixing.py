@@ -4,7 +4,7 @@ Each source has a weight schedule over training time u in [0, 1], linear from ``
 times its weight, so its integral is its weight. A source's documents stand one after another in a fixed
 pseudo-random order, epoch after epoch, until the source's target is reached; the token position at which a
 document begins, as a share of the target, is put through the inverse of the integrated schedule to give its
-training position. Sorting by position (``by_position``) interleaves the sources.
+training position. ``by_position`` gives each epoch of a document its own place and interleaves the sources.
 
 Positions are prefix sums over a source that may hold a third of all rows. They are taken in two steps:
 totals of 4096 hash buckets per source, then a window inside each bucket, so no task sees a whole source.
@@ -58,11 +58,12 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_REPEATS, tilt: float = TILT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, start, position.
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, start, position, rank.
 
     ``taken`` counts the words the mix takes of the document, over all epochs; only the document at which the
     target falls is cut, so a source's taken words add up to its target, rounded. ``start`` is the document's
-    first word in the source's stream and ``position`` its training position in [0, 1] (null if not taken).
+    first word in the source's stream and ``position`` its first training position in [0, 1] (null if not taken);
+    ``rank`` is the source's. Repeats are placed by ``by_position``.
 
     Null texts have size 0; a null source is a source of its own, ranked last; rows that repeat a doc_id stand
     side by side in order of size, so reruns agree. Empty documents and sources take nothing; an empty table
@@ -82,7 +83,8 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_
     zero = F.lit(0).cast("long")
     taken = sum((F.greatest(zero, F.least(F.col("size"), goal - start - F.col("source_size") * e)) for e in range(max_repeats)), zero)
     placed = placed.select("doc_id", "source", "size", "source_size", "target", "rank", start.alias("start"), taken.alias("taken"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "start", F.when(F.col("taken") > 0, position(F.col("start") / F.col("target"), F.col("rank"), tilt)).alias("position"))
+    first = F.when(F.col("taken") > 0, position(F.col("start") / F.col("target"), F.col("rank"), tilt)).alias("position")
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "start", first, "rank")
 
 
 def position(share: Column, rank: Column, tilt: float = TILT) -> Column:
@@ -92,20 +94,49 @@ def position(share: Column, rank: Column, tilt: float = TILT) -> Column:
     return F.when(t == 0, u).otherwise(2 * u / ((1 - t) + F.sqrt((1 - t) * (1 - t) + 4 * t * u)))
 
 
+def _places(mixed: DataFrame, max_repeats: int, tilt: float) -> DataFrame:
+    """A row for each document and epoch that takes words, with epoch, begin, words and that epoch's position;
+    a document that takes none has one row without them."""
+
+    def place(e: Column) -> Column:
+        begin = F.col("start") + F.col("source_size") * e
+        words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.round("target").cast("long") - begin))
+        return F.struct(e.alias("epoch"), begin.alias("begin"), words.alias("words"))
+
+    found = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_repeats - 1)), place), lambda p: p["words"] > 0)
+    each = mixed.drop("position").select("*", F.inline_outer(found))
+    return each.withColumn("position", F.when(F.col("words").isNotNull(), position(F.col("begin") / F.col("target"), F.col("rank"), tilt)))
+
+
 def by_position(mixed: DataFrame, max_repeats: int = MAX_REPEATS, tilt: float = TILT) -> DataFrame:
     """The training order: one row for each document and epoch that takes words, range-sorted by position."""
-    ranks = mixed.select("source").distinct().withColumn("rank", F.row_number().over(W.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))) - 1)
-    each = mixed.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("epoch"))
-    begin = F.col("start") + F.col("epoch") * F.col("source_size")
-    words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.round("target").cast("long") - begin))
-    each = each.withColumn("words", words).withColumn("begin", begin).where("words > 0").drop("position")
-    ranks = ranks.withColumnRenamed("source", "s")
-    each = each.join(ranks, each["source"].eqNullSafe(ranks["s"])).withColumn("position", position(F.col("begin") / F.col("target"), F.col("rank"), tilt))
-    return each.select("position", "doc_id", "source", "epoch", "words").orderBy("position", "doc_id", "epoch")
+    each = _places(mixed, max_repeats, tilt).where(F.col("words").isNotNull())
+    return each.select("position", "doc_id", "source", "epoch", "words").orderBy("position", "doc_id", "epoch", "source", "words")
+
+
+def curriculum(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_REPEATS, tilt: float = TILT) -> DataFrame:
+    """``mix`` dealt out, in training order: doc_id, source, size, source_size, target, taken, start, position, epoch.
+
+    A document has a row for each epoch that takes words; ``taken``, ``start`` and ``position`` are that epoch's.
+    ``size`` stands on a document's first row and is 0 on its repeats, so both add up over the rows. Documents of
+    which nothing is taken follow the training order, with taken 0 and no position and epoch.
+    """
+    each = _places(mix(docs, cycle, max_repeats, tilt), max_repeats, tilt)
+    size = F.when(F.col("epoch") > 0, F.lit(0).cast("long")).otherwise(F.col("size")).alias("size")
+    rows = each.select("doc_id", "source", size, "source_size", "target", F.coalesce("words", F.lit(0).cast("long")).alias("taken"), F.coalesce("begin", "start").alias("start"), "position", "epoch")
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id", "epoch", "source", "start")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The words taken of each document, in order of first training position; its places are op9_mixing_order."""
+    rows = mix(table(spark, sf_dir, "documents")).orderBy(F.col("position").asc_nulls_last(), "doc_id", "size")
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_mixing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of the curriculum, in training order."""
+    rows = by_position(mix(table(spark, sf_dir, "documents")))
+    return rows.select(F.round("position", 9).alias("position"), "doc_id", "source", "epoch", "words")
 
 
 #: The same rows in DuckDB.
@@ -128,3 +159,11 @@ select doc_id, size, source_size, target,
    + greatest(0, least(size, round(target)::bigint - start - 2 * source_size)))::bigint as taken
 from st
 """
+
+#: Every place in DuckDB; the sources are ranked as in OP9_SQL.
+OP9_ORDER_SQL = OP9_SQL[: OP9_SQL.rindex("select doc_id, size, source_size")].replace("pl as (select source,", "pl as (select source, rank,").replace("pl.source_size, pl.target,", "pl.source_size, pl.target, pl.rank, d.source,") + """, ep as (
+  select *, start + e * source_size as b, greatest(0, least(size, round(target)::bigint - start - e * source_size))::bigint as words,
+    case when rank % 2 = 0 then 5e-1 else -5e-1 end as t from st, (select unnest(range(0, 3)) as e)),
+u as (select *, least(greatest(b / target, 0e0), 1e0) as u from ep where words > 0)
+select round(2e0 * u / ((1e0 - t) + sqrt((1e0 - t) * (1e0 - t) + 4e0 * t * u)), 9) as position, doc_id, source, cast(e as int) as epoch, words from u
+"""

@@ -14,11 +14,13 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
     "op8_pii": pii.op8_pii,
     "op9_mixing": mixing.op9_mixing,
+    "op9_mixing_order": mixing.op9_mixing_order,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
 ORACLES = {
     "op2_decontamination": decontamination.OP2_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op9_mixing_order": mixing.OP9_ORDER_SQL,
     "op10_secret_scans": secrets.OP10_SQL,
 }
