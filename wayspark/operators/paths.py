@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,19 +11,21 @@ from wayspark.functions import geo
 from wayspark.storage import written
 
 
-def shortest(requests: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """``requests(.., src, dst)`` with length and hops of the shortest path; null where there is none within
-    ``max_rounds`` edges. A round extends only nodes whose distance has just fallen and stays under the best
+def shortest(requests: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """``requests(.., src, dst)`` with length and hops of the shortest path; null where there is none. Rounds go
+    on until no frontier is left; where ``max_rounds`` are given and do not suffice, an error is raised. A round extends only nodes whose distance has just fallen and stays under the best
     known at their target; ties fall to fewer hops. Rounds are written, so lineage stays short."""
     w = edges.select("u", "v", F.expr(geo.dist("ax", "ay", "bx", "by_")).alias("w"))
     steps = written(w.unionByName(w.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).groupBy("u", "v").agg(F.min("w").alias("w")), "steps")
     ask = written(requests.select("src", "dst").distinct(), "ask")
     seen = written(ask.select("src", "dst", F.col("src").alias("at"), F.lit(0.0).alias("length"), F.lit(0).alias("hops"), F.lit(True).alias("new")), "seen")
-    for _ in range(max_rounds):
+    for k in count():
         goal = seen.where("at = dst").select("src", "dst", F.col("length").alias("cap"))
         front = seen.where("new").join(goal, ["src", "dst"], "left").where("cap is null or length < cap")
         if front.isEmpty():
             break
+        if k == max_rounds:
+            raise RuntimeError(f"shortest paths did not settle in {max_rounds} rounds")
         grown = front.join(steps, front["at"] == steps["u"]).select("src", "dst", F.col("v").alias("at"), (F.col("length") + F.col("w")).alias("length"), (F.col("hops") + 1).alias("hops"), F.lit(True).alias("new"))
         both = seen.withColumn("new", F.lit(False)).unionByName(grown)
         best = both.groupBy("src", "dst", "at").agg(F.min(F.struct("length", "hops", "new")).alias("m"))
