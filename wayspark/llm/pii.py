@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and identifiers that patterns of context discover.
 
-The four base kinds are regular expressions. Their finds are the seeds of a bootstrap: the three words before a
-seed are a lexical pattern; a pattern's confidence is the share of its occurrences in the whole corpus that
-stand before a known identifier; tokens that look like identifiers (four digits or more) are scored by the
-noisy-or of their patterns' confidences, and those that score enough become known in the next round. Their
-values are reported wherever they stand, as spans of kind ``context``.
+The four base kinds are regular expressions. Their finds are the seeds of a bootstrap over a graph of lexical
+patterns and instances. An instance is a base find or any token with a digit or an ``@`` outside of them; its
+patterns are the two words before it and the one word before it (digits read as 0, ``^`` stands for the start of
+a text). A pattern's confidence is the share of its instances, by value, that are known; an unknown token of four
+digits or more is scored by the noisy-or of the confidences of its patterns, and becomes known if that is enough.
+Rounds go on until none finds a value. Known values are reported wherever they stand, as spans of kind
+``context``.
 
 Spark has no regular expression that tells where matches stand, so a text is split into gaps and matches, and
 starts are running sums over a document's pieces. Patterns are written so that they scan a text once: a match
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayspark.llm.common import BROADCAST_ROWS, ascii_lower, bits, in_bits, let, table, words, written
+from wayspark.llm.common import ascii_lower, let, table, words, written
 
 #: kind, pattern, and a cheap test that a text can hold a match.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -38,17 +40,19 @@ GATES = {
     "phone": lambda t: t.contains("+"),
     "token": lambda t: t.rlike(r"[0-9@]"),
 }
-#: Words in a pattern.
-CONTEXT = 3
-#: A pattern counts if so many different known values follow it, in such a share of its occurrences.
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE, MIN_DIGITS, ROUNDS = 3, 0.5, 0.6, 4, 2
-LOG2_BITS = 20
+#: Words in the longer pattern; the shorter one has one.
+CONTEXT = 2
+#: A pattern counts if so many different known values follow it, in such a share of all values that do. A value
+#: becomes known at such a score if it has so many digits.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_SCORE, MIN_DIGITS = 3, 0.5, 0.6, 4
+#: Each round makes a value known, so rounds end; more than this many mean that something is wrong.
+MAX_ROUNDS = 100
 
 
 def _pieces(text: Column, kind: str) -> Column:
-    """Gap length, last words of the gap and match, in order."""
+    """Gap length, last words of the gap (nearest first; tokens only) and match, in order."""
     pattern = PATTERNS[kind]
-    tail = (lambda g: F.slice(F.reverse(words(F.right(g, F.lit(400)))), 1, CONTEXT)) if kind == "token" else (lambda g: F.lit(None).cast("array<string>"))
+    tail = (lambda g: F.slice(F.reverse(words(g)), 1, CONTEXT)) if kind == "token" else (lambda g: F.lit(None).cast("array<string>"))
     zipped = F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("gap"), tail(g).alias("tail"), m.alias("match")))
     found = F.transform(F.filter(zipped, lambda p: p["match"].isNotNull()), lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), p["gap"].alias("gap"), p["tail"].alias("tail"), p["match"].alias("match")))
     return F.when(GATES[kind](text), found).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:int,tail:array<string>,match:string>>"))
@@ -88,70 +92,66 @@ def _placed(rows: DataFrame) -> DataFrame:
     return placed.where(_holds(F.col("kind"), F.col("match")))
 
 
-def _candidates(placed: DataFrame) -> DataFrame:
-    """Tokens that look like identifiers: uid, start, end, value, pattern, and whether a base span overlaps."""
-    lead = F.length(F.regexp_extract("match", r"^[^A-Za-z0-9+]*+", 0))
-    value = F.regexp_replace("match", r"^[^A-Za-z0-9+]++|(?<=[A-Za-z0-9])[^A-Za-z0-9]++$", "")
+def _instances(placed: DataFrame) -> DataFrame:
+    """uid, start, end, value, patterns, seed and free of the graph's instances: tokens in which a base find
+    starts (seed; the value is the whole find) and tokens that no base find touches (free)."""
     token = F.col("kind") == "token"
-    spans = placed.withColumn("value", F.when(token, value)).withColumn("start", F.when(token, F.col("start") + lead).otherwise(F.col("start")))
-    spans = spans.withColumn("end", F.when(token, F.col("start") + F.length("value")).otherwise(F.col("end")))
-    base = ~token
-    order = W.partitionBy("uid").orderBy("start", token)
-    covered = F.coalesce(F.max(F.when(base, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, 0)) > F.col("start"), F.lit(False))
-    ahead = F.coalesce(F.min(F.when(base, F.col("start"))).over(order.rowsBetween(0, W.unboundedFollowing)) < F.col("end"), F.lit(False))
-    out = spans.withColumn("base", covered | ahead).where(token & (F.length(F.regexp_replace("match", "[^0-9]", "")) >= MIN_DIGITS))
-    pattern = F.when(F.size("context") == CONTEXT, ascii_lower(F.array_join(F.reverse("context"), " ")))
-    return out.select("uid", "start", "end", "value", pattern.alias("pattern"), "base")
-
-
-def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, n): how often each pattern stands before a word, in all documents."""
-    hash_of = lambda h, i: F.xxhash64(*(F.get(h, i + k) for k in range(CONTEXT)))
-    hashes = lambda t: F.transform(t, lambda w: F.xxhash64(w))
-    bitmap = bits(patterns.select(let(hashes(F.split("pattern", " ")), lambda h: hash_of(h, F.lit(0))).alias("h")), "h", LOG2_BITS)
-    side = F.broadcast(patterns) if patterns.count() <= BROADCAST_ROWS else patterns
-
-    def pairs(t: Column) -> Column:
-        hits = let(hashes(t), lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - CONTEXT - 1), lambda i: in_bits(bitmap, hash_of(h, i), LOG2_BITS)))
-        return F.when(F.size(t) > CONTEXT, F.transform(hits, lambda i: F.array_join(F.slice(t, i + 1, CONTEXT), " ")))
-
-    found = docs.select(F.explode(let(words(ascii_lower(F.col("text"))), pairs)).alias("pattern"))
-    return found.join(side.select("pattern"), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-
-
-def discovered(docs: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The values (one column) that contexts reveal and no base pattern covers."""
-    edges = written(candidates.where(F.col("pattern").isNotNull()).groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("base").alias("base")), "edges")
-    # a pattern that stands before no unknown value has nothing to reveal
-    some = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("k"), F.bool_or("base").alias("seed"), F.bool_and("base").alias("old"))
-    many = some.where((F.col("k") >= MIN_SUPPORT) & F.col("seed") & ~F.col("old")).select("pattern")
-    total = written(_occurrences(docs, written(many, "patterns")), "totals")
-    known = edges.where("base").select("value").distinct()
-    for _ in range(rounds):
-        held = edges.join(known.withColumn("known", F.lit(True)), "value", "left")
-        score = held.where("known").groupBy("pattern").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("hits"))
-        good = score.where(F.col("support") >= MIN_SUPPORT).join(total.withColumnRenamed("n", "seen"), "pattern").select("pattern", (F.col("hits") / F.greatest("seen", "hits")).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
-        value = edges.join(good, "pattern").groupBy("value").agg((1 - F.product(1 - F.col("confidence"))).alias("score"))
-        known = written(known.unionByName(value.where(F.col("score") >= MIN_SCORE).select("value")).distinct(), "known")
-    return known.join(edges.where("base").select("value"), "value", "left_anti")
-
-
-def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    base_start, base_end = F.when(~token, F.struct("start", "match")), F.when(~token, F.col("end"))
+    # running extremes in both directions, each a frame that only grows
+    onward = W.partitionBy("uid").orderBy(F.col("start").desc(), token).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("uid").orderBy("start", ~token).rowsBetween(W.unboundedPreceding, 0)
+    seen = placed.withColumn("next", F.min(base_start).over(onward)).withColumn("reach", F.max(base_end).over(before)).where(token)
+    seed = F.coalesce(F.col("next.start") < F.col("end"), F.lit(False))
+    free = ~seed & F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))
+    lead = F.length(F.regexp_extract("match", r"^[^A-Za-z0-9+]*+", 0))
+    bare = F.regexp_replace("match", r"^[^A-Za-z0-9+]++|(?<=[A-Za-z0-9])[^A-Za-z0-9]++$", "")
+    near = F.transform("context", lambda w: F.regexp_replace(ascii_lower(w), "[0-9]", "0"))
+    one, two = F.coalesce(F.get(near, F.lit(0)), F.lit("^")), F.coalesce(F.get(near, F.lit(1)), F.lit("^"))
+    patterns = F.when(one == "^", F.array(one)).otherwise(F.array(one, F.concat_ws(" ", two, one)))
+    seen = seen.select("uid", (F.col("start") + lead).cast("int").alias("start"), F.when(seed, F.col("next.match")).otherwise(bare).alias("value"), F.length(bare).alias("n"), patterns.alias("patterns"), seed.alias("seed"), free.alias("free"))
+    return seen.where("seed or free").select("uid", "start", (F.col("start") + F.col("n")).alias("end"), "value", "patterns", "seed", "free")
+
+
+def graph(instances: DataFrame) -> DataFrame:
+    """(pattern, value, seed): each edge of the graph once; seed if the value is a base find anywhere after it."""
+    return instances.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+
+
+def discovered(edges: DataFrame) -> DataFrame:
+    """The values (one column) that contexts reveal and that are no base finds; ``edges`` as of ``graph``."""
+    edges = written(edges.withColumn("open", F.length(F.regexp_replace("value", "[^0-9]", "")) >= MIN_DIGITS), "edges")
+    seeds = written(edges.where("seed").select("value").distinct(), "seeds")
+    found = seeds.limit(0)
+    for _ in range(MAX_ROUNDS):
+        known = seeds.unionByName(found).withColumn("known", F.lit(True))
+        held = edges.join(known, "value", "left")
+        support, size = F.count("known"), F.count(F.lit(1))
+        good = held.groupBy("pattern").agg(support.alias("support"), (support / size).alias("confidence")).where((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE))
+        score = held.where(F.col("known").isNull() & F.col("open")).join(good, "pattern").groupBy("value").agg((1 - F.product(1 - F.col("confidence"))).alias("score"))
+        new = written(score.where(F.col("score") >= MIN_SCORE).select("value"), "found")
+        if new.isEmpty():
+            return found
+        found = written(found.unionByName(new), "known")
+    raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
+
+
+def find(docs: DataFrame) -> DataFrame:
     """doc_id and ``spans``, an array of (rank, start, end, kind) in code points, by kind and start; one row
     per row of ``docs``.
 
     Null texts count as empty and have no spans; repeated rows give repeated rows; an empty table gives
-    none; other columns are ignored. Base spans stay as they are; ``context`` spans never overlap them.
+    none; other columns are ignored. Base spans stay as they are; ``context`` spans never overlap them. Texts
+    without base finds anywhere give no context spans; equal scores need no order, as all that suffice count.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = F.concat(*(_pieces(text, k) for k in PATTERNS))
     rows = written(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", parts.alias("parts")), "pii")
     placed = written(_placed(rows), "placed")
-    tokens = written(_candidates(placed), "tokens")
-    values = discovered(docs, tokens, rounds)
+    tokens = written(_instances(placed), "tokens")
+    values = discovered(graph(tokens))
     rank = reduce(lambda a, k: a.when(F.col("kind") == k, F.lit(KINDS.index(k))), KINDS[1:], F.when(F.col("kind") == KINDS[0], F.lit(0)))
     base = placed.where(F.col("kind") != "token").select("uid", rank.alias("rank"), "start", "end", "kind")
-    more = tokens.where(~F.col("base")).join(values, "value", "left_semi").select("uid", F.lit(len(KINDS)).alias("rank"), "start", "end", F.lit("context").alias("kind"))
+    more = tokens.where("free").join(values, "value", "left_semi").select("uid", F.lit(len(KINDS)).alias("rank"), "start", "end", F.lit("context").alias("kind"))
     per = base.unionByName(more).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("rank", "start", "end", "kind"))).alias("spans"))
     out = rows.select("uid", "doc_id").join(per, "uid", "left")
     return out.select("doc_id", F.coalesce("spans", F.array().cast("array<struct<rank:int,start:int,end:int,kind:string>>")).alias("spans"))
