@@ -1,9 +1,10 @@
 """Secret scans by multipart credential linking.
 
-Three base kinds are reported wherever they stand. Weak parts (access identifiers too short to be sure,
-high-entropy strings, endpoints) prove nothing alone: they are intervals in their document, joined with the
-intervals of complementary roles that lie within ``REACH`` code points, and reported only where such a part
-co-occurs: an identifier needs a secret, a secret an identifier, an endpoint both.
+Three base kinds are reported wherever they stand. Weak parts prove nothing alone: short or named access
+identifiers, user names, passwords too short to count, mixed runs and short hexadecimal ones, addresses of
+services. They are intervals in their document, joined with the intervals of complementary roles that lie within
+``REACH`` code points, and reported only where such a part co-occurs: an identifier needs a secret, a secret an
+identifier, an endpoint both. Base kinds are complements too.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ MASK = "[SECRET]"
 
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-NAMED_ID = r"""(client|account|access|key)[_-]?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]+"""
-ENDPOINT = r"https?://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+"
-MIN_VALUE, MIN_ACCESS, MIN_WEAK_ACCESS, MIN_HEX, MIN_SECRET = 6, 20, 8, 24, 32
-_assign, _access, _id, _endpoint = (re.compile(p, f) for p, f in ((ASSIGN, re.I | re.A), (ACCESS, 0), (NAMED_ID, re.I | re.A), (ENDPOINT, 0)))
+NAMED_ID = r"""(user(name)?|login|(client|account|access|key|tenant|user)[_-]?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]+"""
+ENDPOINT = r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|(host|server|endpoint)(name)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(:[0-9]+)?"""
+#: Least lengths: values of assignments, access identifiers and hexadecimal runs (weak from the second on), mixed runs.
+MIN_VALUE, MIN_WEAK_VALUE, MIN_ACCESS, MIN_WEAK_ACCESS, MIN_HEX, MIN_WEAK_HEX, MIN_MIXED = 6, 4, 20, 8, 24, 16, 20
+_assign, _access, _id, _endpoint = (re.compile(p, f) for p, f in ((ASSIGN, re.I | re.A), (ACCESS, 0), (NAMED_ID, re.I | re.A), (ENDPOINT, re.I | re.A)))
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_ID_WORDS = ("client", "account", "access", "key")
+_ID_WORDS = ("user", "login", "id")
+_END_WORDS = ("://", "host", "server", "endpoint")
 
 _HEX, _SECRET = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _HEX[48:58] = _HEX[97:103] = True
@@ -45,11 +48,11 @@ _TYPE = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end",
 
 
 def _long_runs(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray, least: int) -> dict[int, list[tuple[int, int]]]:
-    """Row -> byte ranges, from the row's start, of runs of at least ``least`` bytes."""
+    """Row -> byte ranges of the chunk, of runs of at least ``least`` bytes."""
     starts, ends, rows = A.runs(mask[data], offsets)
     out: dict[int, list[tuple[int, int]]] = {}
     for k in np.flatnonzero(ends - starts >= least):
-        out.setdefault(int(rows[k]), []).append((int(starts[k] - offsets[rows[k]]), int(ends[k] - offsets[rows[k]])))
+        out.setdefault(int(rows[k]), []).append((int(starts[k]), int(ends[k])))
     return out
 
 
@@ -60,26 +63,24 @@ def _mixed(s: bytes) -> bool:
 def _scan(texts: pa.Array) -> pa.Array:
     found: list[list[dict]] = []
     for lo, hi, data, offsets in A.chunks(texts):
-        hexes = _long_runs(data, offsets, _HEX, MIN_HEX)
-        secrets = _long_runs(data, offsets, _SECRET, MIN_SECRET)
+        hexes = _long_runs(data, offsets, _HEX, MIN_WEAK_HEX)
+        mixed = _long_runs(data, offsets, _SECRET, MIN_MIXED)
+        # code points before each byte, counted once for the chunk
+        points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
         raw = data.tobytes()
         for i in range(hi - lo):
-            own = raw[offsets[i] : offsets[i + 1]]
-            text, parts = own.decode(), []
+            text, parts = raw[offsets[i] : offsets[i + 1]].decode(), []
             low = text.lower()
             if any(k in low for k in _KEYWORDS):
-                parts += [(0, *m.span()) for m in _assign.finditer(text) if len(m[2]) >= MIN_VALUE]
+                parts += [(0 if len(m[2]) >= MIN_VALUE else 4, *m.span()) for m in _assign.finditer(text) if len(m[2]) >= MIN_WEAK_VALUE]
             if "AKIA" in text:
-                for m in _access.finditer(text):
-                    n = m.end() - m.start()
-                    if n >= MIN_WEAK_ACCESS:
-                        parts.append((1 if n >= MIN_ACCESS else 3, *m.span()))
-            point = lambda b: len(own[:b].decode(errors="ignore"))  # noqa: B023, E731
-            parts += [(2, point(a), point(b)) for a, b in hexes.get(i, ())]
-            parts += [(4, point(a), point(b)) for a, b in secrets.get(i, ()) if _mixed(own[a:b])]
+                parts += [(1 if m.end() - m.start() >= MIN_ACCESS else 3, *m.span()) for m in _access.finditer(text) if m.end() - m.start() >= MIN_WEAK_ACCESS]
+            point = lambda b: int(points[b] - points[offsets[i]])  # noqa: B023, E731
+            parts += [(2 if b - a >= MIN_HEX else 4, point(a), point(b)) for a, b in hexes.get(i, ())]
+            parts += [(4, point(a), point(b)) for a, b in mixed.get(i, ()) if _mixed(raw[a:b])]
             if any(k in low for k in _ID_WORDS):
                 parts += [(3, *m.span()) for m in _id.finditer(text)]
-            if "://" in text:
+            if any(k in low for k in _END_WORDS):
                 parts += [(5, *m.span()) for m in _endpoint.finditer(text)]
             found.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(set(parts), key=lambda p: (p[1], p[0], p[2]))])
     return pa.array(found, type=_TYPE)
@@ -98,8 +99,9 @@ def scan(text: Column) -> Column:
 def _linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     """Of (uid, kind, start, end): the weak ones whose complements lie within reach, in the same scope (uid).
 
-    An interval join: ends are cut into bins of the reach, and a weak part looks into the bins its reach
-    touches. What a bin offers is only its roles' extents, so a bin full of parts costs no more than one.
+    An interval join: parts are laid out in bins as long as the reach, and a weak part looks into the bins its
+    reach touches. Parts of one kind don't overlap, so a bin holds a bounded number of them, however many the
+    document has.
     """
     role = F.create_map(*(F.lit(x) for i, k in enumerate(KINDS) for x in (i, ROLE[k])))
     offers = parts.select("uid", F.element_at(role, F.col("kind")).alias("role"), "start", "end", F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor(F.col("end") / reach))).alias("bin"))
@@ -138,7 +140,7 @@ def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
     one row per row of ``docs``.
 
     Null texts have no parts, repeated rows give repeated rows, an empty table gives none, extra columns are
-    ignored. Texts are scanned whole, in linear time.
+    ignored. Texts are scanned whole. Parts of equal start stand by kind, then end.
     """
     arrow_rows(docs.sparkSession)
     rows = written(docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), scan(F.col("text")).alias("parts")), "secrets")
@@ -161,7 +163,8 @@ def _redact(texts: pa.Array, parts: pa.Array) -> pa.Array:
 
 def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """``docs`` with every reported secret masked in ``text`` and ``n_chars``, if it is there, made to agree.
-    No row is dropped; texts without secrets stay as they are."""
+    No row is dropped; null texts and texts without secrets stay as they are; repeated rows repeat, an empty
+    table stays empty, and other columns are kept whatever their names."""
     arrow_rows(docs.sparkSession)
     uid, parts = free_name(docs, "row_key"), free_name(docs, "row_parts")
     rows = written(docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(parts, scan(F.col("text"))), "scanned")
@@ -191,17 +194,18 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same rows in DuckDB.
 OP10_SQL = r"""
 with p(pat, kind) as (values
-    ('(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', 0), ('AKIA[A-Z0-9]+', 1), ('[0-9a-f]{24,}', 2),
-    ('(?i)(?:client|account|access|key)[_-]?id["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9._-]+', 3), ('[A-Za-z0-9+/_-]{32,}', 4),
-    ('https?://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+', 5)),
+    ('(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', 0), ('AKIA[A-Z0-9]+', 1), ('[0-9a-f]{16,}', 2),
+    ('(?i)(?:user(?:name)?|login|(?:client|account|access|key|tenant|user)[_-]?id)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9._@-]+', 3), ('[A-Za-z0-9+/_-]{20,}', 4),
+    ('(?i)[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|(?:host|server|endpoint)(?:name)?["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9.-]+(?::[0-9]+)?', 5)),
 d as (select row_number() over () as uid, doc_id, coalesce(text, '') as text from documents),
 x as (select uid, kind, string_split_regex(text, pat) as gaps, regexp_extract_all(text, pat) as ms from d, p where regexp_matches(text, pat)),
 y as (select uid, kind, unnest(range(1, len(ms) + 1)) as i, gaps, ms from x),
 z as (select uid, kind, i, length(gaps[i]) as g, ms[i] as m from y),
 s as (select uid, kind, m, sum(g + length(m)) over (partition by uid, kind order by i) as e, length(m) as n from z),
-a as (select distinct uid, case when kind = 1 and n < 20 then 3 else kind end as kind, cast(e - n as int) as s, cast(e as int) as e from s
-  where not (kind = 0 and length(regexp_extract(m, '(?i)^(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) < 6)
-    and not (kind = 1 and n < 8)
+v as (select *, length(regexp_extract(m, '(?i)^(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) as len from s),
+a as (select distinct uid, case when kind = 0 and len < 6 then 4 when kind = 1 and n < 20 then 3 when kind = 2 and n < 24 then 4 else kind end as kind,
+    cast(e - n as int) as s, cast(e as int) as e from v
+  where not (kind = 0 and len < 4) and not (kind = 1 and n < 8)
     and not (kind = 4 and not (regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]')))),
 o as (select *, case when kind in (1, 3) then 'id' when kind = 5 then 'endpoint' else 'secret' end as role from a),
 l as (select w.uid, w.kind, w.s, w.e, count(distinct o.role) as roles from o w join o on w.uid = o.uid and w.s - o.e <= 200 and o.s - w.e <= 200
