@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wayspark.llm import decontamination, language_id, mixing, quality_classifier, quality_rules, secrets, simhash_dedup, token_counts, url_filter
+from wayspark.llm import decontamination, language_id, mixing, quality_classifier, quality_rules, secrets, simhash_dedup, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(5)
@@ -210,20 +210,5 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
-def test_token_ledger(spark, odd):
-    ledger = token_counts.Ledger(spark)
-    assert ledger.totals().count() == 0
-    schema = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long"
-    one = spark.createDataFrame([("insert", 1, "a", "en", "t", 10), ("insert", 2, "a", None, "t", 5), ("insert", None, "a", "en", "t", 1), ("insert", None, "a", "en", "t", 1), ("insert", 1, "a", "en", "t", 10)], schema)
-    two = spark.createDataFrame([("revise", 1, "b", "en", "t", 12), ("delete", 2, "a", None, "t", 0), ("delete", 99, "a", "en", "t", 3)], schema)
-    assert ledger.commit("b1", one) and not ledger.commit("b1", one) and ledger.commit("b2", two)
-    assert sorted((r.source, r.n_docs, r.n_tokens) for r in ledger.totals().collect()) == [("a", 2, 2), ("b", 1, 12)]
-    direct = ledger.documents().groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
-    assert {(r.source, r.n) for r in direct} == {("a", 2), ("b", 12)}
-    with pytest.raises(ValueError):
-        ledger.commit("../x", one)
-    assert token_counts.counts(odd).count() == 2 * odd.count()
-
-
 def test_sha_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
