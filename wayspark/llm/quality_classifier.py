@@ -4,9 +4,10 @@ updates and scored as a sparse dot product.
 Words are lower-cased runs of letters and digits and, as words of their own, runs of other marks; features are
 words and pairs of words, hashed into 2**18 slots, each counting as its share of the text's features.
 
-Training takes a bounded sample of labelled rows (``max_rows``), chosen by a hash of the id. It is dealt to a
-fixed number of shards; each shard runs the updates over its rows in a fixed order, and the shards' weights
-are averaged. The model is at most 2**18 numbers, whatever the corpus.
+Training takes a bounded sample of labelled rows (``max_rows``), chosen by a hash of the id. Texts become hashed
+features where they are read; only these are dealt to a fixed number of shards. Each shard runs the updates over
+its rows in a fixed order, and the weights of the shards that have rows are averaged. The model is at most 2**18
+numbers, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def _sparse(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002) -> np.ndarray:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002) -> np.ndarray:
     """Weights after follow-the-regularised-leader (proximal) updates, row by row; the last one is the bias."""
     z, n = np.zeros((1 << LOG2_SLOTS) + 1), np.zeros((1 << LOG2_SLOTS) + 1)
     last = 1 << LOG2_SLOTS
@@ -106,27 +107,40 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, epochs: int = EPOCHS) -> Model:
     """A model of ``label`` (0 or 1) from ``docs(doc_id, text)`` and ``labels(doc_id, label)``.
 
-    Rows with a null id or label are no examples; an id labelled twice counts twice; with no examples all
-    scores are one half. Ids beyond ``max_rows`` are left out by hash, so the sample is the same each time.
+    Rows with a null id or label are no examples, nor are ids without a document. An id labelled both ways is
+    two examples, labels that repeat are one; of documents that repeat an id the smallest text is the example, a
+    null one counts as empty. With no examples all scores are one half. Ids beyond ``max_rows`` are left out by
+    hash, so the sample is the same each time.
     """
     arrow_rows(docs.sparkSession)
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).distinct()
     n = known.count()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = known.where(place < int(1_000_000 * min(1.0, max_rows / max(n, 1)))).limit(2 * max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SHARDS)).cast("int")).withColumn("at", F.xxhash64("doc_id", F.lit(11)))
+    chosen = known.where(place < int(1_000_000 * min(1.0, max_rows / max(n, 1))))
+    # the sample's ids are about max_rows, so they may be broadcast
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    shard, at = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SHARDS)).cast("int"), F.xxhash64("doc_id", F.lit(11))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots, values = zip(*_sparse(batch.column("text"))) if batch.num_rows else ((), ())
+            columns = [batch.column(c) for c in ("shard", "at", "y")]
+            columns += [pa.array(slots, type=pa.list_(pa.int32())), pa.array(values, type=pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "at", "y", "slots", "values"])
+
+    features = sample.select(shard.alias("shard"), at.alias("at"), "y", "text").mapInArrow(hashed, "shard int, at long, y int, slots array<int>, values array<float>")
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "doc_id", "y", "text"])
-        w = ftrl(_sparse(pa.array(rows["text"], type=pa.string())), rows["y"].to_numpy(dtype=float), epochs)
+        rows = rows.sort_values(["at", "y"])
+        w = ftrl(list(zip(rows["slots"], rows["values"])), rows["y"].to_numpy(dtype=float), epochs)
         i = np.flatnonzero(w)
-        return pd.DataFrame({"slot": i.astype(np.int64), "w": w[i], "n": float(len(rows))})
+        return pd.DataFrame({"shard": rows["shard"].iloc[0], "slot": i.astype(np.int64), "w": w[i]})
 
-    parts = written(sample.groupBy("shard").applyInPandas(train, "slot long, w double, n double"), "weights")
-    shards = SHARDS
+    # one shard a task: dealt by range, as hashes of so few keys would often meet
+    parts = written(features.repartitionByRange(SHARDS, "shard").groupBy("shard").applyInPandas(train, "shard int, slot long, w double"), "weights")
+    shards = parts.select("shard").distinct().count()
     weights = np.zeros((1 << LOG2_SLOTS) + 1)
-    for slot, w in parts.groupBy("slot").agg((F.sum("w") / F.lit(float(shards))).alias("w")).collect():  # at most 2**18 + 1
+    for slot, w in parts.groupBy("slot").agg((F.sum("w") / F.lit(float(max(1, shards)))).alias("w")).collect():  # at most 2**18 + 1
         weights[slot] = w
     return Model(weights[:-1], float(weights[-1]))
 
@@ -143,14 +157,18 @@ def score(text: Column, model: Model, spark: SparkSession) -> Column:
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 if score >= threshold); columns of these names are replaced."""
+    """``docs`` with ``score`` and ``predicted`` (1 if score >= threshold); columns of these names are replaced.
+
+    Null and empty texts score by the bias alone; repeated rows repeat; a score at the threshold is predicted 1;
+    an empty table stays empty.
+    """
     arrow_rows(docs.sparkSession)
     out = docs.withColumn("score", score(F.col("text"), model, docs.sparkSession))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` the model does not reject, columns unchanged."""
+    """The rows of ``docs`` the model does not reject, columns unchanged; cases are those of ``classify``."""
     arrow_rows(docs.sparkSession)
     return docs.where(score(F.col("text"), model, docs.sparkSession) >= threshold)
 
