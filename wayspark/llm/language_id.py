@@ -4,15 +4,18 @@ A fixed public vocabulary gives the pieces; each language has a probability for
 likelihood is the sum over all ways of cutting it into pieces, by the forward algorithm; a text's is the
 product over its words, which is the sum over all segmentations of the text, as no piece crosses words.
 Probabilities are fitted by expectation-maximisation (forward-backward) on the word counts of a bounded sample
-of labelled documents (``max_rows``); the model has a number for each language and piece, whatever the corpus.
+of labelled documents (``per_language`` rows of each language); the model has a number for each language and
+piece, whatever the corpus.
 
-Words are runs of letters, in lower case (A-Z), each with a space before it. Whole texts are scored; a word's
-likelihoods are worked out once for as long as a worker's table has room.
+Words are runs of letters and marks of one script, in lower case (A-Z), each with a space before it; a longer run,
+as scripts without spaces have, is cut after every 24 characters, so a word's work and memory are bounded. Whole
+texts are scored; a word's likelihoods are worked out once for as long as a worker's table has room.
 """
 
 from __future__ import annotations
 
 import base64
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,11 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayspark.llm import arrowtext as A
-from wayspark.llm.common import arrow_rows, ascii_lower, fold_in, table, words, written
+from wayspark.llm.common import arrow_rows, fold_in, table, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-MAX_ROWS = 2_000
+#: Rows of a language used for fitting, about so many at most.
+PER_LANGUAGE = 1_000
 ROUNDS = 2
+#: Code points of a word, at most.
+MAX_WORD = 24
+#: Tasks that share the words of a round of fitting.
+PARTS = 16
 #: Pieces of more bytes are left out.
 MAX_PIECE = 16
 #: Added to each piece's expected count.
@@ -35,7 +43,6 @@ PRIOR = 0.05
 #: Entries of a worker's table of words, times languages.
 TABLE = 4_000_000
 UND = "und"
-SEPARATOR = r"[\x00-\x60\x7B-\x7F]+"
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
@@ -94,27 +101,61 @@ def _pieces(block: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     return ids
 
 
+_scripts: list[np.ndarray] = []
+
+
+def _script() -> np.ndarray:
+    """A class for each code point: 0 for no letter, 255 for marks, which continue what they follow, else a script,
+    roughly: Latin, ideographs, Hangul, and other letters by block of 256."""
+    if not _scripts:
+        at = np.arange(0x110000)
+        out = (4 + (at >> 8) % 200).astype(np.uint8)
+        out[(at < 0x250) | ((at >= 0x1E00) & (at < 0x1F00))] = 1
+        out[((at >= 0x2E80) & (at < 0x3040)) | ((at >= 0x3400) & (at < 0xA000)) | ((at >= 0xF900) & (at < 0xFB00)) | (at >= 0x20000)] = 2
+        out[((at >= 0x1100) & (at < 0x1200)) | ((at >= 0xAC00) & (at < 0xD7B0))] = 3
+        kind = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
+        out[kind == "M"] = 255
+        out[(kind != "L") & (kind != "M")] = 0
+        _scripts.append(out)
+    return _scripts[0]
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, last byte + 1 and row of each word."""
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    kind = _script()[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)]
+    n = len(kind)
+    row = np.searchsorted(offsets, first, "right") - 1
+    new_row = np.append(True, row[1:] != row[:-1])[:n]
+    held = np.maximum.accumulate(np.where((kind != 255) | new_row, np.arange(n), 0)) if n else first
+    kind = kind[held]
+    kind[kind == 255] = 0  # marks at the start of a text follow nothing
+    begins = (kind > 0) & (np.append(True, kind[1:] != kind[:-1])[:n] | new_row)
+    run = np.maximum.accumulate(np.where(begins, np.arange(n), 0)) if n else first
+    begins |= (kind > 0) & ((np.arange(n) - run) % MAX_WORD == 0)
+    at = np.flatnonzero(begins)
+    stop = np.flatnonzero((kind == 0) | begins)
+    ends = np.append(first[stop], len(data))[np.searchsorted(stop, at, "right")]
+    return first[at], ends, row[at]
+
+
 def _forward(block: np.ndarray, vocab: Vocabulary, probabilities: np.ndarray) -> np.ndarray:
-    """Log-likelihoods [word, language]. Pieces are looked up a stretch of positions at a time; sums are
-    rescaled every few positions, so no word is too long."""
+    """Log-likelihoods [word, language] for words of one length; sums are rescaled every few positions."""
     count, n = block.shape
     table_ = np.ascontiguousarray(probabilities.T)
     alpha = np.zeros((n + 1, count, table_.shape[1]))
     alpha[0] = 1.0
     scale = np.zeros(alpha.shape[1:])
-    stretch = 8192
-    for lo in range(0, n, stretch):
-        first = max(0, lo - MAX_PIECE + 1)
-        ids = _pieces(block[:, first : min(n, lo + stretch)], vocab)
-        for j in range(lo, min(n, lo + stretch)):
-            for m in range(min(j + 1, MAX_PIECE)):
-                own = ids[m, j - first] if m < len(ids) else None
-                if own is not None and own.min() < vocab.size:
-                    alpha[j + 1] += alpha[j - m] * table_[own]
-            if j % 8 == 7:
-                top = alpha[j + 1].copy()
-                alpha[max(0, j + 1 - MAX_PIECE) : j + 2] /= top
-                scale += np.log(top)
+    ids = _pieces(block, vocab)
+    for j in range(n):
+        for m in range(min(j + 1, MAX_PIECE)):
+            own = ids[m, j]
+            if own.min() < vocab.size:
+                alpha[j + 1] += alpha[j - m] * table_[own]
+        if j % 8 == 7:
+            top = alpha[j + 1].copy()
+            alpha[max(0, j + 1 - MAX_PIECE) : j + 2] /= top
+            scale += np.log(top)
     return scale + np.log(alpha[n])
 
 
@@ -160,7 +201,7 @@ class _Scorer:
         out = np.zeros((len(texts), len(self.model.languages)))
         for lo, hi, raw, offsets in A.chunks(texts):
             data = A.LOWER[raw]
-            starts, ends, rows = A.runs(_LETTER[data], offsets)
+            starts, ends, rows = _words(data, offsets)
             if len(starts):
                 values = self.words(data, starts, ends)
                 for k in range(values.shape[1]):
@@ -206,17 +247,42 @@ def _expected(rows: pd.DataFrame, model: Model) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"lang": [], "piece": [], "uses": []})
 
 
-def fit(docs: DataFrame, path: str = VOCABULARY, max_rows: int = MAX_ROWS, rounds: int = ROUNDS) -> Model:
-    """A model from ``docs(text, lang, doc_id)``. Rows with null text or language teach nothing; without any
-    the model has no languages. The sample is chosen by a hash of the id, the same each time."""
+def word_list(text: Column) -> Column:
+    """The words of a text, in order; none for null."""
+
+    @F.arrow_udf("array<string>")
+    def listed(texts: pa.Array) -> pa.Array:
+        out: list[list[str]] = []
+        for lo, hi, raw, offsets in A.chunks(texts):
+            data = A.LOWER[raw]
+            own: list[list[str]] = [[] for _ in range(hi - lo)]
+            whole = data.tobytes()
+            for a, b, r in zip(*(x.tolist() for x in _words(data, offsets))):
+                own[r].append(whole[a:b].decode())
+            out += own
+        return pa.array(out, type=pa.list_(pa.string()))
+
+    return listed(text)
+
+
+def fit(docs: DataFrame, path: str = VOCABULARY, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
+    """A model from ``docs(text, lang, doc_id)``.
+
+    Every language of the labelled rows is learned. Rows with null text or language teach nothing; without any
+    the model has no languages. Each language's rows are chosen by a hash of id and text, the same each time;
+    rows that repeat both count once.
+    """
     spark = docs.sparkSession
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = known.count()
-    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
-    sample = known.where(place < int(1_000_000 * min(1.0, max_rows / max(n, 1)))).limit(2 * max_rows)
-    counts = written(sample.select("lang", F.explode(words(ascii_lower(F.col("text")), SEPARATOR)).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
+    arrow_rows(spark)
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    languages = sorted(sizes)
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1_000_000))
+    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int(1_000_000 * min(1.0, per_language / n))))) if sizes else F.create_map().cast("map<string,int>")
+    sample = known.where(place < F.element_at(share, F.col("lang"))).distinct()
+    counts = sample.select("lang", F.explode(word_list(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(counts.repartition(PARTS, "lang", "word"), "words")
     vocab = vocabulary(path)
-    languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
     probabilities = np.full((len(languages), vocab.size + 1), 1.0 / vocab.size)
     probabilities[:, -1] = 0.0
     for _ in range(rounds if languages else 0):
