@@ -88,7 +88,10 @@ def contaminated(text, items):
     return len(own), len(hit), ",".join(sorted(ids))
 
 
-def test_decontamination_brute_force(spark, odd):
+@pytest.mark.parametrize("many", [False, True])
+def test_decontamination_brute_force(spark, odd, many, monkeypatch):
+    if many:  # fingerprints too many to be broadcast
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 1)
     items = [(3, prose(30)), (20, prose(13)), (1, prose(15).upper()), (7, "rare tulip bulbs"), (8, "solo"), (9, None), (10, ""), (20, prose(13)), (11, "ba ba ba ba ba ba ba ba ba ba ba ba ba ba")]
     texts = ODD + [prose(20) + ", " + items[0][1][:140] + ". " + prose(9), items[1][1], "x " + items[2][1].lower() + " y", "some RARE tulip bulbs, solo", items[1][1][:-4], ("ba " * 40).strip()] + [prose(25) for _ in range(4)]
     bench = spark.createDataFrame(items, "item_id long, text string")

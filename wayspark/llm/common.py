@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayspark.storage import shared_dir, written
 
-__all__ = ["arrow_rows", "ascii_lower", "bits", "fold_in", "free_name", "in_bits", "let", "shared_dir", "table", "words", "written"]
+__all__ = ["arrow_rows", "ascii_lower", "fold_in", "free_name", "let", "shared_dir", "table", "words", "written"]
 
 #: White space of the contracts: space and \x09-\x0D.
 SPACES = r"[ \t-\r]+"
@@ -45,21 +44,6 @@ def words(text: Column, separator: str = SPACES) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), separator), lambda w: w != "")
 
 
-def bits(hashes: DataFrame, column: str, log2: int = 20) -> Column:
-    """A bitmap of fixed size over 64-bit hashes, as a constant: 2**log2 / 64 longs, whatever the input. A set
-    bit may be a false alarm, a clear bit is certain. Only the bitmap itself passes the driver."""
-    word, bit = F.shiftrightunsigned(column, 64 - log2 + 6), F.pmod(F.col(column), F.lit(64)).cast("int")
-    some = hashes.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
-    full = dict(some.groupBy("w").agg(F.bit_or("b").alias("b")).collect())
-    # one constant string, folded into an array by the optimizer
-    return F.from_json(F.lit(json.dumps([full.get(i, 0) for i in range(2 ** (log2 - 6))])), "array<bigint>")
-
-
-def in_bits(bitmap: Column, h: Column, log2: int = 20) -> Column:
-    word = F.get(bitmap, F.shiftrightunsigned(h, 64 - log2 + 6).cast("int"))
-    return F.call_function("getbit", word, F.pmod(h, F.lit(64)).cast("int")) == 1
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -1,24 +1,28 @@
 """Benchmark decontamination by winnowing.
 
 Texts are fingerprinted by the smallest hash of five-word grams in each run of nine, so two texts that share
-13 words in a row share a fingerprint. Benchmark fingerprints become a bitmap of fixed size; a document's
-grams are looked up in it inside the row, and only grams that hit are put to the winnowing test. Around each
-hit all 13-word windows are formed and joined, by their words, with the benchmark's windows, so a hit is
-never a hash collision. Items of fewer than 13 words are one window each and are looked up by length.
+13 words in a row share a fingerprint. A document's fingerprints, with their places, are joined with the
+benchmark's. Each hit is extended: all 13-word windows around it are formed and joined, by their words, with the
+benchmark's windows, so a hit is never a hash collision. An item of fewer than 13 words is one window; its
+fingerprint is the hash of all its words, and every run of so many words of a document is one too.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayspark.llm.common import BROADCAST_ROWS, ascii_lower, bits, free_name, in_bits, let, table, words, written
+from wayspark.llm.common import BROADCAST_ROWS, ascii_lower, free_name, let, table, words, written
 
 SPAN = 13
 GRAM = 5
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: log2 of the bits in the bitmap; past some hundred thousand fingerprints more would save work, never change results.
-LOG2_BITS = 20
+#: A word before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RUN = SPAN - GRAM + 1
+_PRINTS = "array<struct<h:bigint,len:int,at:int>>"
 
 
 def _gram_hash(h: Column, i: Column, n: int) -> Column:
@@ -41,61 +45,66 @@ def windows(benchmark: DataFrame) -> DataFrame:
     return each.select(F.array_join("w", " ").alias("key"), "len", "item_id", "w").distinct()
 
 
-def _whole_hash(wins: DataFrame, n: int) -> DataFrame:
-    return wins.select(let(_hashes(F.col("w")), lambda h: _gram_hash(h, F.lit(0), n)).alias("h"))
-
+def _prints(tokens: Column, lengths: list[int]) -> Column:
+    """(h, len, at) of a text's fingerprints: the winnowed grams, and all runs of each of the shorter lengths."""
 
-def _candidates(tokens: Column, full: Column, short: dict[int, Column]) -> Column:
-    """(s, len, key) of the windows of a document that may be windows of the benchmark."""
-    run = SPAN - GRAM + 1
-    none = F.array().cast("array<int>")
+    def winnowed(g: Column) -> Column:
+        """Grams that are the smallest of some run: the greatest of the minima around such a gram is its own hash."""
+        last = F.size(g) - RUN
 
-    def hits(h: Column) -> Column:
-        def chosen(g: Column) -> Column:
-            last = F.size(g) - run
-            found = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: in_bits(full, F.get(g, i), LOG2_BITS))
-            winnowed = F.filter(found, lambda i: F.exists(F.sequence(F.greatest(F.lit(0), i - run + 1), F.least(i, last)), lambda j: F.array_min(F.slice(g, j + 1, run)) == F.get(g, i)))
-            return F.array_distinct(F.flatten(F.transform(winnowed, lambda i: F.sequence(F.greatest(F.lit(0), i - run + 1), F.least(i, last)))))
+        def chosen(least: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_max(F.slice(least, F.greatest(F.lit(0), i - RUN + 1) + 1, F.least(i, last) - F.greatest(F.lit(0), i - RUN + 1) + 1)) == F.get(g, i))
+            return F.transform(at, lambda i: F.struct(F.get(g, i).alias("h"), F.lit(SPAN).alias("len"), i.alias("at")))
 
-        return F.when(F.size(h) >= SPAN, let(_grams(h, GRAM), chosen)).otherwise(none)
+        return let(F.transform(F.sequence(F.lit(0), last), lambda j: F.array_min(F.slice(g, j + 1, RUN))), chosen)
 
-    def keyed(starts: Column, n: int) -> Column:
-        return F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(n).alias("len"), F.array_join(F.slice(tokens, s + 1, n), " ").alias("key")))
+    def short(h: Column, n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.struct(_gram_hash(h, i, n).alias("h"), F.lit(n).alias("len"), i.alias("at")))
+        return F.when(F.size(h) >= n, runs).otherwise(F.array().cast(_PRINTS))
 
     def every(h: Column) -> Column:
-        parts = [keyed(hits(h), SPAN)]
-        parts += [keyed(places(h, n, bitmap), n) for n, bitmap in short.items()]
-        return F.concat(*parts)
-
-    def places(h: Column, n: int, bitmap: Column) -> Column:
-        found = F.filter(F.sequence(F.lit(0), F.size(h) - n), lambda i: in_bits(bitmap, _gram_hash(h, i, n), LOG2_BITS))
-        return F.when(F.size(h) >= n, found).otherwise(none)
+        full = F.when(F.size(h) >= SPAN, let(_grams(h, GRAM), winnowed)).otherwise(F.array().cast(_PRINTS))
+        return F.concat(full, *(short(h, n) for n in lengths))
 
     return let(_hashes(tokens), every)
 
 
-def _judged(docs: DataFrame, benchmark: DataFrame, uid: str, n_words: str, cand: str) -> tuple[DataFrame, DataFrame]:
+def _whole_hash(n: int) -> Column:
+    """The hash of a window ``w`` of n words."""
+    return let(_hashes(F.col("w")), lambda h: _gram_hash(h, F.lit(0), n))
+
+
+def _around(hits: DataFrame) -> DataFrame:
+    """Of (uid, tokens, h, len, at): the words of all windows that hold the fingerprint's gram, from ``base`` on."""
+    base = F.when(F.col("len") < SPAN, F.col("at")).otherwise(F.greatest(F.lit(0), F.col("at") - RUN + 1))
+    return hits.select("uid", "h", "len", base.alias("base"), F.slice("tokens", base + 1, F.col("at") - base + F.when(F.col("len") < SPAN, F.col("len")).otherwise(SPAN)).alias("near"))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, uid: str, n_words: str) -> tuple[DataFrame, DataFrame]:
     """``docs`` with a row key and its word count, written; and, by row key, n_hit, n_items and item_ids of
     the rows that have hits."""
     wins = written(windows(benchmark), "windows")
     # a full window is one run of nine grams: its smallest is the benchmark's fingerprint
-    prints = wins.where(F.col("len") == SPAN).select(let(_hashes(F.col("w")), lambda h: F.array_min(_grams(h, GRAM))).alias("h")).distinct()
+    grams = let(_hashes(F.col("w")), lambda h: F.array_min(_grams(h, GRAM)))
     lengths = [r[0] for r in wins.where(F.col("len") < SPAN).select("len").distinct().orderBy("len").collect()]  # at most 12
-    short = {n: bits(_whole_hash(wins.where(F.col("len") == n), n), "h", LOG2_BITS) for n in lengths}
-    full = bits(prints, "h", LOG2_BITS)
-    tokens = words(ascii_lower(F.col("text")), SEPARATOR)
-    found = let(tokens, lambda t: F.struct(F.size(t).cast("long").alias("n"), _candidates(t, full, short).alias("c")))
-    rows = docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(cand, found)
-    rows = rows.withColumn(n_words, F.col(f"`{cand}`.n")).withColumn(cand, F.col(f"`{cand}`.c"))
-    rows = written(rows, "matched")
-    keys = wins.select("key", "len", "item_id")
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    hits = rows.select(F.col(uid).alias("uid"), F.inline(cand)).join(keys, ["key", "len"])
-    per = hits.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("s", "len"))).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    whole = reduce(lambda a, n: F.when(F.col("len") == n, _whole_hash(n)).otherwise(a), lengths, F.lit(None).cast("long"))
+    prints = written(wins.select(F.when(F.col("len") == SPAN, grams).otherwise(whole).alias("h"), "len").distinct(), "prints")
+    few = prints.count() <= BROADCAST_ROWS
+    count = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    rows = written(docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(n_words, count), "keyed")
+    tokens = rows.select(F.col(uid).alias("uid"), words(ascii_lower(F.col("text")), SEPARATOR).alias("tokens"))
+    each = tokens.select("uid", "tokens", F.inline(_prints(F.col("tokens"), lengths)))
+    # a row of prints is 12 bytes, so few enough of them may be broadcast, and a document's words never move; of
+    # many, what is shuffled of a document is the words around its fingerprints
+    hits = _around(each.join(F.broadcast(prints), ["h", "len"])) if few else _around(each).join(prints, ["h", "len"])
+    starts = F.sequence(F.lit(0), F.size("near") - F.col("len"))
+    spans = F.transform(starts, lambda s: F.struct((F.col("base") + s).alias("s"), F.array_join(F.slice("near", s + 1, F.col("len")), " ").alias("key")))
+    found = hits.select("uid", "len", F.inline(F.when(F.size("near") >= F.col("len"), spans)))
+    own = found.groupBy("uid", "s", "len").agg(F.first("key").alias("key")).join(wins.select("key", "len", "item_id"), ["key", "len"])
+    per = own.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("s", "len"))).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     state = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     cover = F.aggregate("spans", state, lambda a, x: F.struct(F.greatest(a["end"], x["s"] + x["len"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["s"] + x["len"] - F.greatest(x["s"], a["end"]))).alias("n")))["n"]
-    return rows.drop(cand), per.select("uid", cover.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("item_ids"))
+    return rows, per.select("uid", cover.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("item_ids"))
 
 
 def _bad(n_hit: Column, n_words: Column) -> Column:
@@ -109,7 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows give repeated rows, repeated items count once; a null item_id hits but is not listed. Empty tables
     are fine on either side. Other columns are ignored.
     """
-    rows, per = _judged(docs.select("doc_id", "text"), benchmark, "uid", "n_words", "cand")
+    rows, per = _judged(docs.select("doc_id", "text"), benchmark, "uid", "n_words")
     zero = F.lit(0).cast("long")
     out = rows.select("uid", "doc_id", "n_words").join(per, "uid", "left")
     out = out.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("item_ids", F.lit("")).alias("item_ids"))
@@ -117,9 +126,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns kept."""
-    uid, n_words, cand = (free_name(docs, c) for c in ("row_key", "row_words", "row_windows"))
-    rows, per = _judged(docs, benchmark, uid, n_words, cand)
+    """The rows of ``docs`` that are not contaminated, all columns kept; cases are those of ``contamination``."""
+    uid, n_words = (free_name(docs, c) for c in ("row_key", "row_words"))
+    rows, per = _judged(docs, benchmark, uid, n_words)
     bad = per.join(rows.select(F.col(uid).alias("uid"), F.col(n_words).alias("n")), "uid").where(_bad(F.col("n_hit"), F.col("n"))).select(F.col("uid").alias(uid))
     return rows.join(bad, uid, "left_anti").select(docs.columns)
 
