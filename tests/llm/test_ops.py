@@ -59,7 +59,8 @@ def test_simhash_brute_force(spark, odd):
     assert simhash_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_links_are_complete(spark):
+@pytest.mark.parametrize("cut", [None, *simhash_dedup.CUTS])
+def test_links_are_complete(spark, cut):
     r = np.random.default_rng(3)
     fps = [int(x) for x in r.integers(-(2**63), 2**63, 300)]
     for f in fps[:150]:
@@ -69,7 +70,7 @@ def test_links_are_complete(spark):
                 g ^= 1 << int(b)
             fps.append((g + 2**63) % 2**64 - 2**63)
     fps = sorted({(f + 2**63) % 2**64 - 2**63 for f in fps})
-    got = {(a, b) for a, b in simhash_dedup.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    got = {(a, b) for a, b in simhash_dedup.links(spark.createDataFrame([(f,) for f in fps], "fp long"), cut=cut).collect()}
     want = {(a, b) for a, b in itertools.combinations(fps, 2) if bin((a ^ b) & (2**64 - 1)).count("1") <= 4}
     assert got == want
 

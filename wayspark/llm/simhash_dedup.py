@@ -1,106 +1,120 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into three segments. Two fingerprints at most four bits apart have a segment with at
-most one differing bit, so each fingerprint looks up, per segment, the segment itself and the keys one bit
-away, and the whole distance is verified. A pair that differs in one bit of a segment has that bit clear on
-one side only, so only clear bits are flipped: every pair is found from exactly one end, at half the probes.
+A fingerprint is cut into segments. Fingerprints at most four bits apart have, of three segments, one with at most
+one differing bit, or, of two, one with at most two. So each fingerprint looks up, per segment, all keys of a small
+Hamming ball, and the whole distance of what it meets is verified. Of two keys that differ, exactly one has the
+lowest differing bit clear; only balls' keys that set such a bit are looked up, so every pair is found from one
+end, at half the probes. The cut is the one with fewer probes and candidates for the number of fingerprints; both
+give the same links. Copies are folded before any lookup: the index holds each distinct fingerprint once.
 
-Copies are folded before any lookup: the index holds each distinct fingerprint once, and documents meet it
-again only in the last join.
+``keep_one`` is for corpora: documents whose sets of five-word shingles are 0.8 or more alike are one group. Four bits
+of 64 find few of these, so it uses a longer fingerprint (``Sketch``): segments looked up with balls of one bit, and
+64 bits more by which the distance of candidates is verified; an exact comparison of the shingle sets follows.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayspark.llm import arrowtext as A
-from wayspark.llm.common import arrow_rows, free_name, table, written
+from wayspark.llm.common import arrow_rows, ascii_lower, free_name, let, table, words, written
 from wayspark.operators.components import components
 
 SHINGLE = 4
 MAX_BITS = 4
+#: Spark's xxhash64 of one string is XXH64 of its UTF-8 with this seed.
 SEED = 42
-#: (first bit, width) of each segment.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Cuts of 64 bits: (first bit, width) of each segment, and the radius of the balls.
+CUTS = (
+    (((0, 21), (21, 21), (42, 22)), 1),
+    (((0, 32), (32, 32)), 2),
+)
 
 
-def _fingerprints(texts: pa.Array, shingle: int) -> pa.Array:
-    out = np.zeros(len(texts), dtype=np.uint64)
-    for lo, hi, raw, offsets in A.chunks(texts):
-        data = A.LOWER[raw]
-        starts, ends, rows = A.runs(A.NOT_SPACE[data], offsets)
-        if not len(starts):
-            continue
-        # words one space apart, so that each shingle is one slice
-        lengths = ends - starts + 1
-        at = np.cumsum(lengths) - lengths
-        packed = np.full(int(lengths.sum()), 32, dtype=np.uint8)
-        take = np.arange(len(packed)) - np.repeat(at, lengths) + np.repeat(starts, lengths)
-        letters = np.ones(len(packed), dtype=bool)
-        letters[at + lengths - 1] = False
-        packed[letters] = data[take[letters]]
-        first = np.searchsorted(rows, np.arange(hi - lo))
-        count = np.searchsorted(rows, np.arange(hi - lo), "right") - first
-        shingles = np.where(count > 0, np.maximum(count - shingle + 1, 1), 0)
-        owner = np.repeat(np.arange(hi - lo), shingles)
-        begin = np.arange(len(owner)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + np.repeat(first, shingles)
-        last = np.minimum(begin + shingle, np.repeat(first + count, shingles)) - 1
-        lows, highs = at[begin].tolist(), (at[last] + lengths[last] - 1).tolist()
-        view, digest = memoryview(packed.tobytes()), xxhash.xxh64_intdigest
-        h = np.fromiter((digest(view[a:b], SEED) for a, b in zip(lows, highs)), dtype=np.uint64, count=len(lows))
-        full = np.flatnonzero(shingles)
-        ones = np.zeros((len(full), 64), dtype=np.int64)
-        edges = np.append(np.cumsum(shingles[full]) - shingles[full], len(h))
-        step = 1 << 17
-        for b in range(0, len(h), step):
-            part = np.unpackbits(h[b : b + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            g0, g1 = np.searchsorted(edges, b, "right") - 1, np.searchsorted(edges, b + len(part))
-            cuts = np.maximum(edges[g0:g1] - b, 0)
-            ones[g0:g1] += np.add.reduceat(part, cuts, axis=0, dtype=np.int64)
-        major = (2 * ones > shingles[full][:, None]).astype(np.uint8)
-        out[lo + full] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
+def _fingerprints(hashes: pa.Array) -> pa.Array:
+    """Of lists of shingle hashes: a bit is set if it is set in over half of them."""
+    if isinstance(hashes, pa.ChunkedArray):
+        hashes = hashes.combine_chunks()
+    counts = np.diff(hashes.offsets.to_numpy())
+    h = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    full = np.flatnonzero(counts)
+    ones = np.zeros((len(full), 64), dtype=np.int64)
+    edges = np.append(np.cumsum(counts[full]) - counts[full], len(h))
+    step = 1 << 17
+    for b in range(0, len(h), step):
+        part = np.unpackbits(h[b : b + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        g0, g1 = np.searchsorted(edges, b, "right") - 1, np.searchsorted(edges, b + len(part))
+        ones[g0:g1] += np.add.reduceat(part, np.maximum(edges[g0:g1] - b, 0), axis=0, dtype=np.int64)
+    out = np.zeros(len(counts), dtype=np.uint64)
+    out[full] = np.packbits((2 * ones > counts[full][:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
     return pa.array(out.view(np.int64), type=pa.int64())
 
 
-def simhash(text: Column, shingle: int = SHINGLE) -> Column:
-    """The 64-bit SimHash of a text as a signed long; 0 for null and for texts without words."""
+def simhash(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and ``fp``, the 64-bit SimHash of the text as a signed long; 0 for null and for texts without words."""
+
+    def hashed(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - shingle), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(w, i + k) for k in range(shingle)))))
+        whole = F.when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(w) >= shingle, grams).otherwise(whole)
+
+    def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _fingerprints(batch.column("hashes"))], ["doc_id", "fp"])
+
+    hashes = docs.select("doc_id", let(words(ascii_lower(F.col("text"))), hashed).alias("hashes"))
+    return hashes.mapInArrow(fingerprinted, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+
+
+def _cut(n: int) -> tuple[tuple[tuple[int, int], ...], int]:
+    """The cut with the fewest probes and candidates for n fingerprints."""
+
+    def cost(cut: tuple) -> float:
+        segments, radius = cut
+        balls = [sum(math.comb(width, r) for r in range(radius + 1)) for _, width in segments]
+        return sum(ball / 2 * (1 + n / 2**width) for ball, (_, width) in zip(balls, segments))
+
+    return min(CUTS, key=cost)
 
-    @F.arrow_udf("long")
-    def fingerprint(texts: pa.Array) -> pa.Array:
-        return _fingerprints(texts, shingle)
 
-    return fingerprint(text)
+def _masks(width: int, radius: int) -> list[int]:
+    return [sum(1 << b for b in bits) for r in range(1, radius + 1) for bits in itertools.combinations(range(width), r)]
 
 
-def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs (a, b) of different values of ``fp`` at most ``max_bits`` bits apart, each once."""
-    if max_bits >= 2 * len(SEGMENTS):
-        raise ValueError(f"at most {2 * len(SEGMENTS) - 1} bits with {len(SEGMENTS)} segments")
+def _ball(key: Column, width: int, radius: int) -> Column:
+    """The keys to look up: the key itself, and those at most ``radius`` bits away whose lowest other bit it has clear."""
+    masks = F.array(*(F.lit(m).cast("long") for m in _masks(width, radius)))
+    lowest = lambda m: m.bitwiseAND(-m)
+    open_ = F.filter(masks, lambda m: key.bitwiseAND(lowest(m)) == 0)
+    return F.concat(F.array(key), F.transform(open_, lambda m: key.bitwiseXOR(m)))
+
+
+def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, cut: tuple | None = None) -> DataFrame:
+    """Pairs (a, b) of different values of ``fp`` at most ``max_bits`` bits apart, each once. Nulls have no links."""
     fps = fingerprints.select("fp").where(F.col("fp").isNotNull()).distinct()
+    segments, radius = cut or _cut(fps.count())
+    if max_bits >= len(segments) * (radius + 1):
+        raise ValueError(f"at most {len(segments) * (radius + 1) - 1} bits with {len(segments)} segments and balls of {radius}")
 
     def key(k: int) -> Column:
-        low, width = SEGMENTS[k]
+        low, width = segments[k]
         return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
-    def slot(k: int, value: Column) -> Column:
-        return value + F.lit(k << 32).cast("long")
-
-    index = fps.select(F.col("fp").alias("b"), F.explode(F.array(*(slot(k, key(k)) for k in range(len(SEGMENTS))))).alias("slot"))
+    def table_(k: int, keys: Column) -> Column:
+        return F.transform(keys, lambda x: x + F.lit(k << 32).cast("long"))
 
-    def ball(k: int) -> Column:
-        flips = [F.when(F.call_function("getbit", key(k), F.lit(i)) == 0, slot(k, key(k) + F.lit(1 << i).cast("long"))) for i in range(SEGMENTS[k][1])]
-        return F.array(slot(k, key(k)), *flips)
-
-    probes = fps.select(F.col("fp").alias("a"), F.posexplode(F.concat(*(ball(k) for k in range(len(SEGMENTS))))).alias("i", "probe")).where(F.col("probe").isNotNull())
-    wholes, at = [], 0
-    for _, width in SEGMENTS:
-        wholes.append(at)
-        at += width + 1
-    probes = probes.select("a", "probe", F.col("i").isin(wholes).alias("whole"))
+    index = fps.select(F.col("fp").alias("b"), F.explode(F.concat(*(table_(k, F.array(key(k))) for k in range(len(segments))))).alias("slot"))
+    balls = F.concat(*(F.transform(table_(k, _ball(key(k), segments[k][1], radius)), lambda x, i: F.struct(x.alias("probe"), (i == 0).alias("whole"))) for k in range(len(segments))))
+    probes = fps.select(F.col("fp").alias("a"), F.inline(balls))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     pairs = probes.join(index, (F.col("probe") == F.col("slot")) & near & (~F.col("whole") | (F.col("a") < F.col("b"))))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -123,22 +137,164 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     rows. Other columns are ignored, whatever their names. An empty table gives none.
     """
     arrow_rows(docs.sparkSession)
-    rows = written(docs.select("doc_id", simhash(F.col("text"), shingle).alias("fp")), "simhash")
+    rows = written(simhash(docs, shingle), "simhash")
     found = groups(rows, max_bits)
     return rows.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_docs")
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that lead their group: the smallest doc_id, one row of those that repeat it
-    (a null id only where the group has no other). All columns are kept."""
+@dataclass(frozen=True)
+class Sketch:
+    """A fingerprint of random hyperplanes over the set of shingles: ``tables`` segments of ``width`` bits and 64 bits
+    more. Two sets of a Jaccard similarity differ in a bit with probability ``flip``."""
+
+    width: int
+    tables: int
+
+    #: Shingles are counted into so many signed cells, on which the hyperplanes act.
+    CELLS = 1024
+
+    @staticmethod
+    def flip(similarity: float) -> float:
+        return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+    @classmethod
+    def sized(cls, n: int, similarity: float, recall: float) -> Sketch:
+        """Segments about as wide as n distinct documents need, and so many that a pair of just the similarity meets
+        in one of their balls of one bit with probability ``recall``."""
+        width = min(30, max(12, math.ceil(math.log2(max(n, 2))) - 2))
+        p = cls.flip(similarity)
+        met = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+        return cls(width, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+    @staticmethod
+    def distance(similarity: float) -> int:
+        """The distance in 64 bits that a pair of just the similarity keeps to, but for three deviations."""
+        p = Sketch.flip(similarity)
+        return math.ceil(64 * p + 3 * math.sqrt(64 * p * (1 - p)))
+
+    @functools.lru_cache(4)  # noqa: B019
+    def planes(self) -> np.ndarray:
+        """Whole numbers, so that sums are exact and reruns agree."""
+        return np.rint(32 * np.random.default_rng(SEED).standard_normal((self.CELLS, 64 + self.tables * self.width)))
+
+
+def _shingle_sets(texts: pa.Array, shingle: int):
+    """(first row, last row + 1, hashes, rows) of the distinct shingles of each row, by row, then hash."""
+    for lo, hi, raw, offsets in A.chunks(texts):
+        data = A.LOWER[raw]
+        starts, ends, rows = A.runs(A.NOT_SPACE[data], offsets)
+        h = A.hashes(data, starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
+        count = np.bincount(rows, minlength=hi - lo) if len(rows) else np.zeros(hi - lo, dtype=np.int64)
+        first = np.cumsum(count) - count
+        n = np.where(count > 0, np.maximum(count - shingle + 1, 1), 0)
+        owner = np.repeat(np.arange(hi - lo), n)
+        begin = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        gram = np.zeros(len(owner), dtype=np.uint64)
+        for k in range(shingle):
+            inside = begin + k < (first + count)[owner]
+            gram = A.mix(gram * np.uint64(31) + np.where(inside, h[np.minimum(begin + k, max(0, len(h) - 1))] if len(h) else 0, 0).astype(np.uint64))
+        order = np.lexsort((gram, owner))
+        gram, owner = gram[order], owner[order]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1]))[: len(gram)]
+        yield lo, hi, gram[new], owner[new]
+
+
+def sketch(text: Column, how: Sketch, shingle: int) -> Column:
+    """(n, whole, check, keys) of a text: the number of its distinct shingles, a hash of their set, 64 bits of its
+    fingerprint, and its segments."""
+
+    @F.arrow_udf("struct<n:bigint,whole:bigint,check:bigint,keys:array<bigint>>")
+    def sketched(texts: pa.Array) -> pa.Array:
+        planes, parts = how.planes(), []
+        for lo, hi, gram, row in _shingle_sets(texts, shingle):
+            n = np.bincount(row, minlength=hi - lo)
+            whole = np.zeros(hi - lo, dtype=np.uint64)
+            np.add.at(whole, row, A.mix(gram ^ np.uint64(SEED)))
+            sign = np.where(gram & np.uint64(1), 1.0, -1.0)
+            cells = np.bincount(row * how.CELLS + (gram >> np.uint64(54)).astype(np.int64), weights=sign, minlength=(hi - lo) * how.CELLS)
+            bits = (cells.reshape(hi - lo, how.CELLS) @ planes) > 0
+            check = np.packbits(bits[:, :64], axis=1, bitorder="little").view(np.int64).ravel()
+            keys = bits[:, 64:].reshape(hi - lo, how.tables, how.width) @ (1 << np.arange(how.width, dtype=np.int64))
+            parts.append((n, whole.view(np.int64), check, keys))
+        if not parts:
+            return pa.array([], type=pa.struct([("n", pa.int64()), ("whole", pa.int64()), ("check", pa.int64()), ("keys", pa.list_(pa.int64()))]))
+        n, whole, check, keys = (np.concatenate(x) for x in zip(*parts))
+        lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, how.tables, dtype=np.int32), pa.array(keys.ravel()))
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(whole), pa.array(check), lists], ["n", "whole", "check", "keys"])
+
+    return sketched(text)
+
+
+def shingle_set(text: Column, shingle: int) -> Column:
+    """The hashes of a text's distinct shingles, as longs."""
+
+    @F.arrow_udf("array<bigint>")
+    def listed(texts: pa.Array) -> pa.Array:
+        grams, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
+        for lo, hi, gram, row in _shingle_sets(texts, shingle):
+            grams.append(gram)
+            counts.append(np.bincount(row, minlength=hi - lo))
+        return pa.ListArray.from_arrays(np.cumsum(np.concatenate(counts)).astype(np.int32), pa.array(np.concatenate(grams).view(np.int64)))
+
+    return listed(text)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are at least so alike."""
+    left, right = sets.select(F.col("uid").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("uid").alias("b"), F.col("grams").alias("gb"))
+    both = F.size(F.array_intersect("ga", "gb"))
+    met = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return met.where(both >= similarity * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+
+
+def similar_links(own: DataFrame, rows: DataFrame, how: Sketch, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the nodes of ``own(uid, n, check, keys)``, enough to join all that are ``similarity`` alike
+    and were met; ``rows(uid, text)`` gives the texts.
+
+    Each node's nearest candidate is compared first. What these links join needs no further comparison; all other
+    candidates are compared, so of large groups of near copies few pairs are.
+    """
+    table_ = lambda k, keys: F.transform(keys, lambda x: x + F.lit(k << 32).cast("long"))
+    key = lambda k: F.get("keys", k)
+    index = own.select(F.col("uid").alias("b"), F.col("check").alias("cb"), F.explode(F.concat(*(table_(k, F.array(key(k))) for k in range(how.tables)))).alias("slot"))
+    balls = F.concat(*(F.transform(table_(k, _ball(key(k), how.width, 1)), lambda x, i: F.struct(x.alias("probe"), (i == 0).alias("whole"))) for k in range(how.tables)))
+    probes = own.select(F.col("uid").alias("a"), F.col("check").alias("ca"), F.inline(balls))
+    far = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))
+    met = probes.join(index, (F.col("probe") == F.col("slot")) & (far <= Sketch.distance(similarity)) & (~F.col("whole") | (F.col("a") < F.col("b"))))
+    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), far.alias("far")).distinct(), "candidates")
+    ends = pairs.select("a", "b", "far").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+    sets = written(rows.join(ends.select(F.col("a").alias("uid")).distinct(), "uid", "left_semi").select("uid", shingle_set(F.col("text"), shingle).alias("grams")), "sets")
+    nearest = ends.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+    first = written(_alike(nearest, sets, similarity), "nearest")
+    tied = components(first)
+    left, right = tied.select(F.col("node").alias("a"), F.col("component").alias("ra")), tied.select(F.col("node").alias("b"), F.col("component").alias("rb"))
+    apart = pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    # one comparison is enough for a pair met before, and it failed
+    rest = apart.join(nearest, ["a", "b"], "left_anti")
+    return first.unionByName(_alike(rest, sets, similarity))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.9) -> DataFrame:
+    """The rows of ``docs`` that lead their group: the smallest doc_id, one row of those that repeat it (a null id only
+    where the group has no other). All columns are kept.
+
+    Rows are in one group if a chain of pairs leads from one to the other whose sets of ``shingle``-word shingles
+    have a Jaccard similarity of ``similarity`` or more; a pair of just that similarity is met with probability
+    ``recall`` at least, closer ones with more. Null, empty and word-less texts are one group, as are equal sets;
+    shorter texts are one shingle. Other columns may have any name; an empty table stays empty.
+    """
     arrow_rows(docs.sparkSession)
-    uid, fp = free_name(docs, "row_key"), free_name(docs, "row_fp")
-    rows = written(docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(fp, simhash(F.col("text"), shingle)), "keyed")
-    slim = rows.select("doc_id", F.col(fp).alias("fp"), F.col(uid).alias("uid"))
-    own = slim.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("lead"))
-    tied = components(links(slim, max_bits)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    leads = own.join(tied, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("lead").alias("lead")).select(F.col("lead.uid").alias(uid))
-    return rows.join(leads, uid, "left_semi").drop(uid, fp)
+    uid, col = free_name(docs, "row_key"), free_name(docs, "row_sketch")
+    how = Sketch.sized(docs.count(), similarity, recall)
+    rows = written(docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(col, sketch(F.col("text"), how, shingle)), "keyed")
+    slim = rows.select("doc_id", F.col(uid).alias("uid"), F.col(f"{col}.n").alias("n"), F.col(f"{col}.whole").alias("whole"), F.col(f"{col}.check").alias("check"), F.col(f"{col}.keys").alias("keys"))
+    # equal sets are folded; their sketches are equal too
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("lead")
+    own = written(slim.groupBy("n", "whole").agg(lead, F.min("uid").alias("uid"), F.min("check").alias("check"), F.first("keys").alias("keys")), "own")
+    texts = rows.select(F.col(uid).alias("uid"), "text")
+    tied = components(similar_links(own.where("n > 0"), texts, how, shingle, similarity)).select(F.col("node").alias("uid"), F.col("component").alias("root"))
+    leads = own.select("uid", "lead").join(tied, "uid", "left").groupBy(F.coalesce("root", "uid")).agg(F.min("lead").alias("lead")).select(F.col("lead.uid").alias(uid))
+    return rows.join(leads, uid, "left_semi").drop(uid, col)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
