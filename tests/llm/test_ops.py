@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wayspark.llm import decontamination, language_id, mixing, quality_classifier, quality_rules, secrets, simhash_dedup, url_filter
+from wayspark.llm import decontamination, language_id, mixing, quality_classifier, quality_rules, secrets, simhash_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(5)
@@ -201,18 +201,5 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(language_id._forward(np.frombuffer(w, dtype=np.uint8)[None, :], v, p)[0], np.log(total))
 
 
-def test_url_filter(spark):
-    urls = ["https://A.Example.ORG/es/x?q=1", "http://x.org", "https://x.org/", "http://example.com/fr/1#t", "http://a.com/de/", "http://example.org/en/17", "ftp:no", None, "", "http://notorg/fr/", "http://www.casino-win.example.net/en/1"] + [f"http://{w}.example.net/en/{i}" for i, w in enumerate(VOCAB * 8)] + [f"http://{w}.casino-win.example.com/en/{i}" for i, w in enumerate(VOCAB * 4)]
-    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
-    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
-    assert [(got[i].host, got[i].path, got[i].rule) for i in range(10)] == [
-        ("a.example.org", "/es/x", "example.org/es/"), ("x.org", "", None), ("x.org", "/", "org/"), ("example.com", "/fr/1", "com/fr/"), ("a.com", "/de/", "com/de/"),
-        ("example.org", "/en/17", "example.org/en/1"), ("", "", None), ("", "", None), ("", "", None), ("notorg", "/fr/", None),
-    ]
-    assert [got[i].verdict for i in (0, 2, 3, 4, 5, 7, 8)] == ["block", "allow", "allow", "block", "block", "allow", "allow"]
-    assert got[10].verdict == "block" and sum(got[i].verdict == "allow" for i in range(11, 11 + 240)) > 230
-    assert url_filter.judge(pages.limit(0)).count() == 0
-
-
 def test_sha_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
