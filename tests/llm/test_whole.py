@@ -1,7 +1,5 @@
 """Cases in which an operator once did less than its whole job."""
 
-import inspect
-
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +7,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_ops import docs, prose
 from wayspark.llm import mixing, registry
-from wayspark.operators import paths
-from wayspark.plans import search_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,19 +38,3 @@ def test_op9_order_is_its_sql(spark):
         words[g[1]] = words.get(g[1], 0) + g[4]
     once = registry.QUERIES["op9_mixing"](spark, SF).collect()
     assert {r.doc_id: r.taken for r in once if r.taken} == words
-
-
-def test_shortest_paths_are_not_cut_off(spark):
-    chain = spark.createDataFrame([(i, i + 1, float(i), 0.0, i + 1.0, 0.0) for i in range(6)], "u long, v long, ax double, ay double, bx double, by_ double")
-    ask = spark.createDataFrame([(0, 6), (0, 9)], "src long, dst long")
-    got = {r.dst: (r.length, r.hops) for r in paths.shortest(ask, chain).collect()}
-    assert got == {6: (6.0, 6), 9: (None, None)} and inspect.signature(paths.shortest).parameters["max_rounds"].default is None
-    with pytest.raises(RuntimeError):
-        paths.shortest(ask, chain, max_rounds=3)
-
-
-def test_every_way_has_its_path(spark, monkeypatch):
-    asked = []
-    monkeypatch.setattr(paths, "shortest", lambda ask, edges: asked.append(ask.count()) or ask.withColumns({"length": F.lit(1.0), "hops": F.lit(1)}))
-    n = search_queries.shortest_path_lengths(spark, SF).count()
-    assert asked == [n] == [search_queries._connected(spark, SF).edges.select("way_id").distinct().count()]
