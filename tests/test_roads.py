@@ -13,7 +13,6 @@ from wayspark.functions import geo
 from wayspark.operators import candidates as C
 from wayspark.operators import graph as G
 from wayspark.operators import polylines as P
-from wayspark.operators import search as R
 from wayspark.operators import sketch as S
 from wayspark.operators import surgery as X
 from wayspark.operators.components import components
@@ -134,30 +133,6 @@ def test_sketch_paths(spark):
     assert [r.i for r in S.thinned(flat, 2.5).orderBy("i").collect()] == [0, 3, 6]
 
 
-def test_search_small_grid_city(spark):
-    ways = {}
-    for k in range(6):
-        ways[k] = [(x * 50, k * 50, 100 * k + x) for x in range(6)]
-        ways[10 + k] = [(k * 50, y * 50, 100 * y + k) for y in range(6)]
-    n = points(spark, ways)
-    g = G.connect(G.native(n))
-    s = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)])], "sketch_id long, i int, x double, y double")
-    o = SearchOptions(restarts=2, iterations=12, grid_positions=2)
-    got = R.search(s, g, n.count(), o).orderBy("rank").collect()
-    assert got and got[0]["rank"] == 1 and got[0].score_total < 1 and len(got[0].edge_ids) > 3
-    assert [r.score_total for r in R.search(s, g, n.count(), o).orderBy("rank").collect()] == [r.score_total for r in got]
-    two = s.withColumn("part", F.lit(1)).unionByName(s.withColumn("x", F.col("x") + 3).withColumn("part", F.lit(2)))
-    two = two.unionByName(two.where("part = 1 and i = 0").withColumn("part", F.lit(3)))  # a point has no route
-    alone = s.withColumn("part", F.lit(1)).withColumn("sketch_id", F.lit(5).cast("long"))
-    j = R.place(two.unionByName(alone), g, n.count(), o).orderBy("sketch_id", "rank").collect()
-    both, one = [r for r in j if r.sketch_id == 1], [r for r in j if r.sketch_id == 5]
-    assert both and all(len(r.part_edges) == 3 == len(r.offsets) and r.part_edges[2] == [] and r.edge_ids == r.part_edges[0] for r in both)
-    assert all(r.total_length_m > r.route_length_m > 0 for r in both)
-    assert one[0].offsets is None and one[0].part_edges == [one[0].edge_ids]
-    with pytest.raises(ValueError, match="graph_too_many_nodes"):
-        R.search(s, g, 35_001)
-
-
 def test_joint_score_and_offsets():
     import pandas as pd
 

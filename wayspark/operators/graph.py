@@ -6,6 +6,7 @@ Each step takes a graph and returns a new one; ids are strings and compared as s
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from wayspark.functions import geo
 from wayspark.operators.components import components
 from wayspark.sources.roads import LAT0, LON0
+from wayspark.storage import written
 
 
 class Graph(NamedTuple):
@@ -110,11 +112,21 @@ def roles(graph: Graph) -> DataFrame:
 A, B = ("a_ax", "a_ay", "a_bx", "a_by_"), ("b_ax", "b_ay", "b_bx", "b_by_")
 
 
-def segment_pairs(edges: DataFrame, reach: float, size: float, more: tuple[str, ...] = ()) -> DataFrame:
-    """Each pair of edges (a_eid < b_eid) of which boxes grown by half the reach share a cell; columns a_*, b_*."""
+def segment_pairs(edges: DataFrame, reach: float, size: float, more: tuple[str, ...] = (), sectors: int = 1) -> DataFrame:
+    """Each pair of edges (a_eid < b_eid) of which boxes grown by half the reach share a cell; columns a_*, b_*.
+
+    With three sectors or more, the half turn is cut into so many and pairs are met only in the same or neighbouring
+    ones: one side stands in its own, the other in three, so a pair is met once."""
     cols = ["eid", "way_id", "u", "v", "ax", "ay", "bx", "by_", *more]
     side = lambda p: cells(edges.select(*(F.col(c).alias(f"{p}_{c}") for c in cols)), size, f"{p}_ax", f"{p}_ay", f"{p}_bx", f"{p}_by_", reach / 2)
-    pairs = side("a").join(side("b"), ["cx", "cy"]).where("a_eid < b_eid")
+    left, right, keys = side("a"), side("b"), ["cx", "cy"]
+    if sectors >= 3:
+        own = lambda p: F.least(F.floor(F.pmod(F.expr(f"atan2({p}_by_ - {p}_ay, {p}_bx - {p}_ax)"), F.pi()) / F.pi() * sectors), F.lit(sectors - 1).cast("long"))
+        left = left.withColumn("sector", own("a"))
+        right = right.withColumn("sector", F.explode(F.transform(F.array(*(F.lit(k) for k in (-1, 0, 1))), lambda k: F.pmod(own("b") + k, F.lit(sectors)))))
+        keys.append("sector")
+    # rows by cell are many times the edges, so a plan made by the size of these must not broadcast them to a few tasks
+    pairs = left.join(right.hint("merge"), keys).drop("sector").where("a_eid < b_eid")
     # a pair that shares several cells is taken in the least of them
     low = lambda p, x, y: F.floor((F.expr(f"least({p}_{x}, {p}_{y})") - reach / 2) / size)
     return pairs.where((F.col("cx") == F.greatest(low("a", "ax", "bx"), low("b", "ax", "bx"))) & (F.col("cy") == F.greatest(low("a", "ay", "by_"), low("b", "ay", "by_")))).drop("cx", "cy")
@@ -125,12 +137,17 @@ def road_pairs(edges: DataFrame, distance: float, angle: float) -> DataFrame:
     distance, angle, overlap, lengths and score."""
     e = edges.withColumn("dx", F.col("bx") - F.col("ax")).withColumn("dy", F.col("by_") - F.col("ay"))
     e = e.withColumn("len", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where("len >= 1e-6")
-    pairs = segment_pairs(e, distance, max(4 * distance, 1.0), ("dx", "dy", "len")).where("a_way_id <> b_way_id")
+    sectors = int(180 / (angle + 0.01)) if angle < 60 else 1
+    pairs = segment_pairs(e, distance, max(distance, 1.0), ("dx", "dy", "len"), sectors).where("a_way_id <> b_way_id")
     # what costs least goes first: boxes, then angles, then distances
     gap = lambda c, d: F.greatest(F.least(f"a_{c}", f"a_{d}"), F.least(f"b_{c}", f"b_{d}")) - F.least(F.greatest(f"a_{c}", f"a_{d}"), F.greatest(f"b_{c}", f"b_{d}")) <= distance
+    # angles first by products alone, with room for rounding; what is left is written, as in one step with the join
+    # the generated code is too long for the JVM to compile
+    slope = math.tan(math.radians(min(angle, 89.9))) * (1 + 1e-9)
+    level = F.lit(True) if angle >= 89.9 else F.expr(f"abs(a_dx * b_dy - a_dy * b_dx) <= {slope!r}D * abs(a_dx * b_dx + a_dy * b_dy)")
+    pairs = written(pairs.where(gap("ax", "bx") & gap("ay", "by_") & level), "near")
     turn = F.expr("abs(atan2(a_dx * b_dy - a_dy * b_dx, a_dx * b_dx + a_dy * b_dy))")
-    deg = F.degrees(F.least(turn, F.pi() - turn))
-    pairs = pairs.where(gap("ax", "bx") & gap("ay", "by_")).withColumn("deg", deg).where(F.col("deg") <= angle)
+    pairs = pairs.withColumn("deg", F.degrees(F.least(turn, F.pi() - turn))).where(F.col("deg") <= angle)
 
     def end(q: str, x: str, y: str, s: str) -> Column:
         """The distance of an end of q to segment s, of which the direction and length are columns."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -103,22 +104,21 @@ def trail(edges: list[tuple[int, int]], start: int) -> list[int]:
     return out[::-1]
 
 
-def _distances(xy: np.ndarray, edges: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All shortest distances of a small graph and the next vertex on each way."""
-    n = len(xy)
-    d, step = np.full((n, n), np.inf), np.tile(np.arange(n), (n, 1))
-    np.fill_diagonal(d, 0)
-    for u, v in edges:
-        d[u, v] = d[v, u] = min(d[u, v], float(np.hypot(*(xy[u] - xy[v]))))
-    for k in range(n):
-        via = d[:, k, None] + d[None, k, :]
-        better = via < d - 1e-12
-        d = np.where(better, via, d)
-        step = np.where(better, step[:, k, None], step)
-    return d, step
+def _ways_from(start: int, near: dict[int, list[tuple[int, float]]]) -> tuple[dict[int, float], dict[int, int]]:
+    """Distances from one vertex, and the vertex before each on the way there."""
+    d, before, todo = {start: 0.0}, {}, [(0.0, start)]
+    while todo:
+        far, u = heapq.heappop(todo)
+        if far > d[u]:
+            continue
+        for v, w in near[u]:
+            if far + w < d.get(v, np.inf) - 1e-12:
+                d[v], before[v] = far + w, u
+                heapq.heappush(todo, (far + w, v))
+    return d, before
 
 
-def _matched(odd: list[int], d: np.ndarray, free: int) -> tuple[float, list[tuple[int, int]]]:
+def _matched(odd: list[int], d: dict[tuple[int, int], float], free: int) -> tuple[float, list[tuple[int, int]]]:
     """The cheapest pairing of odd vertices that leaves ``free`` of them (0 or 2) alone; by subsets up to
     twenty, else the nearest pairs first."""
     k = len(odd)
@@ -180,16 +180,22 @@ def _one_path(rows: pd.DataFrame) -> pd.DataFrame:
     odd = [int(v) for v in np.flatnonzero(degree % 2)]
     start = odd[0] if odd else edges[0][0]
     if len(odd) > 2:
-        d, step = _distances(np.array(xy), edges)
+        near: dict[int, list[tuple[int, float]]] = {}
+        for u, v in edges:
+            w = float(np.hypot(*(xy[u] - xy[v])))
+            near.setdefault(u, []).append((v, w))
+            near.setdefault(v, []).append((u, w))
+        ways = {v: _ways_from(v, near) for v in odd}
+        d = {(u, v): ways[u][0].get(v, np.inf) for u in odd for v in odd}
         (path, p), (round_, q) = _matched(odd, d, 2), _matched(odd, d, 0)
         pairs = p if path <= round_ + 1e-12 else q
         paired = {v for pair in pairs for v in pair}
         start = next((v for v in odd if v not in paired), odd[0])
         for u, v in pairs:
             while u != v:
-                w = int(step[u, v])
-                edges.append((u, w))
-                u = w
+                w = ways[u][1][v]
+                edges.append((w, v))
+                v = w
     walk = np.array(xy)[trail(edges, start)]
     return pd.DataFrame({"component": component, "i": range(len(walk)), "x": walk[:, 0], "y": walk[:, 1]})
 

@@ -336,7 +336,7 @@ def overpass_bbox(spark, sf):
     return p.select("way_id", *_r(6, south="lat - d", west="lon - d / c", north="lat + d", east="lon + d / c"))
 
 
-NEAREST = SQL + f""", q as (select way_id * 1000 + pos as q, x + 7e0 as qx, y - 5e0 as qy from nat where pos % 10 = 3),
+NEAREST = SQL + f""", q as (select way_id * 1000 + pos as q, x + 7e0 as qx, y - 5e0 as qy from nat),
   nn as (select q, eid, u, v, {geo.point_segment('qx', 'qy', 'ax', 'ay', 'bx', 'by_')} as d, {geo.dist('qx', 'qy', 'ax', 'ay')} as du, {geo.dist('qx', 'qy', 'bx', 'by_')} as dv from q join cedge on least(ax, bx) - 200e0 <= qx and greatest(ax, bx) + 200e0 >= qx and least(ay, by_) - 200e0 <= qy and greatest(ay, by_) + 200e0 >= qy)"""
 
 
@@ -345,13 +345,13 @@ def nearest_segment(spark, sf):
     from wayspark.operators.nearest import nearest_segments
 
     g = _connected(spark, sf)
-    q = _native(spark, sf).nodes.where("pos % 10 = 3").selectExpr("way_id * 1000 + pos as q", "x + 7e0 as qx", "y - 5e0 as qy")
+    q = _native(spark, sf).nodes.selectExpr("way_id * 1000 + pos as q", "x + 7e0 as qx", "y - 5e0 as qy")
     return nearest_segments(q, g.edges).select("q", *_r(6, d="d"), "node")
 
 
-@query(SQL + ", b as (select way_id, min(x) - 30e0 as x0, max(x) + 30e0 as x1, min(y) - 30e0 as y0, max(y) + 30e0 as y1 from nat where way_id % 20 = 0 group by way_id) select way_id, id from b join canon on x between x0 and x1 and y between y0 and y1")
+@query(SQL + ", b as (select way_id, min(x) - 30e0 as x0, max(x) + 30e0 as x1, min(y) - 30e0 as y0, max(y) + 30e0 as y1 from nat group by way_id) select way_id, id from b join canon on x between x0 and x1 and y between y0 and y1")
 def nodes_in_corridor(spark, sf):
-    n = _native(spark, sf).nodes.where("way_id % 20 = 0")
+    n = _native(spark, sf).nodes
     box = n.groupBy("way_id").agg((F.min("x") - 30.0).alias("x0"), (F.max("x") + 30.0).alias("x1"), (F.min("y") - 30.0).alias("y0"), (F.max("y") + 30.0).alias("y1"))
     left = G.cells(box, 100.0, "x0", "y0", "x1", "y1", 0.0)
     right = _connected(spark, sf).nodes.select("id", "x", "y", F.floor(F.col("x") / 100).alias("cx"), F.floor(F.col("y") / 100).alias("cy"))

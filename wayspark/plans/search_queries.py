@@ -48,9 +48,9 @@ def best_restart(spark, sf):
     return per.groupBy("run_id").agg(F.min(F.struct("score", "restart_index")).alias("m")).select("run_id", "m.restart_index", F.round("m.score", 6).alias("score"))
 
 
-@query(SQL + ", s as (select way_id, step_index, 5e-2 * power(1e-3 / 5e-2, step_index / 249e0) as t, step_index from trace where step_index < 250) select way_id, step_index, round(t, 9) as temperature, round(greatest(3e-2, least(1e0, t / 5e-2)), 9) as step_scale, round(case when step_index % 40 < 12 then greatest(t, 35e-2 * 5e-2) else t end, 9) as accept_at from s")
+@query(SQL + ", s as (select way_id, step_index, 5e-2 * power(1e-3 / 5e-2, step_index / 249e0) as t, step_index from trace) select way_id, step_index, round(t, 9) as temperature, round(greatest(3e-2, least(1e0, t / 5e-2)), 9) as step_scale, round(case when step_index % 40 < 12 then greatest(t, 35e-2 * 5e-2) else t end, 9) as accept_at from s")
 def temperature_schedule(spark, sf):
-    t = _trace(spark, sf).where("step_index < 250").select("way_id", "step_index", F.expr("5e-2 * power(1e-3 / 5e-2, step_index / 249e0)").alias("t"))
+    t = _trace(spark, sf).select("way_id", "step_index", F.expr("5e-2 * power(1e-3 / 5e-2, step_index / 249e0)").alias("t"))
     return t.select("way_id", "step_index", *_r(9, temperature="t", step_scale="greatest(3e-2, least(1e0, t / 5e-2))", accept_at="if(step_index % 40 < 12, greatest(t, 35e-2 * 5e-2), t)"))
 
 
@@ -169,13 +169,13 @@ SEG = geo.point_segment("q.x", "q.y", "s.ax", "s.ay", "s.bx", "s.by_")
 
 
 @query(
-    SQL + f""", ta as (select way_id as line, pos, x, y from nat where way_id % 4 = 0), rb as (select line, pos, x + 5e0 + pos % 3 as x, y - 3e0 as y from ta),
+    SQL + f""", ta as (select way_id as line, pos, x, y from nat), rb as (select line, pos, x + 5e0 + pos % 3 as x, y - 3e0 as y from ta),
   {_samples('ta', 'm')}, {_samples('rb', 'n')}, o as (select mr.line, avg((mr.x-nr.x)*(mr.x-nr.x)+(mr.y-nr.y)*(mr.y-nr.y)) as o from mr join nr on mr.line = nr.line and mr.i = nr.i group by 1)
   select o.line as way_id, round(sqrt(o) / 1000e0 + 35e-2 * sqrt((m1.m + m2.m) / 2e0) / 1000e0, 7) as loss
   from o join {MSQ.format(d=SEG, q='mr', s='ns')} m1 on o.line = m1.line join {MSQ.format(d=SEG, q='nr', s='ms')} m2 on o.line = m2.line"""
 )
 def shape_loss(spark, sf):
-    t = _native(spark, sf).nodes.where("way_id % 4 = 0").select(F.col("way_id").alias("line"), "pos", "x", "y")
+    t = _native(spark, sf).nodes.select(F.col("way_id").alias("line"), "pos", "x", "y")
     route = t.select("line", "pos", F.expr("x + 5e0 + pos % 3").alias("x"), F.expr("y - 3e0").alias("y"))
     return P.shape_loss(t, route, 1000.0).select(F.col("line").alias("way_id"), *_r(7, loss="loss"))
 
@@ -221,10 +221,10 @@ def trace_overlay(spark, sf):
     return t.join(e, ["way_id", "pos"], "left").groupBy("run_id", "restart_index", "step_index").agg(F.count("eid").alias("edges"), F.round(F.sum("ax"), 3).alias("sum_x"))
 
 
-@query(SQL + ", c as (select run_id, restart_index, step_index + 2 as want from trace where step_index % 20 = 0), l as (select run_id, restart_index, max(step_index) as last from trace group by 1, 2) select c.run_id, c.restart_index, want, coalesce(t.step_index, last) as step_index from c left join trace t on t.run_id = c.run_id and t.restart_index = c.restart_index and t.step_index = want join l on l.run_id = c.run_id and l.restart_index = c.restart_index")
+@query(SQL + ", c as (select run_id, restart_index, step_index + 2 as want from trace), l as (select run_id, restart_index, max(step_index) as last from trace group by 1, 2) select c.run_id, c.restart_index, want, coalesce(t.step_index, last) as step_index from c left join trace t on t.run_id = c.run_id and t.restart_index = c.restart_index and t.step_index = want join l on l.run_id = c.run_id and l.restart_index = c.restart_index")
 def candidate_overlay(spark, sf):
     t = _trace(spark, sf).select("run_id", "restart_index", "step_index")
-    c = t.where("step_index % 20 = 0").select("run_id", "restart_index", (F.col("step_index") + 2).alias("want"))
+    c = t.select("run_id", "restart_index", (F.col("step_index") + 2).alias("want"))
     last = t.groupBy("run_id", "restart_index").agg(F.max("step_index").alias("last"))
     met = c.join(t.withColumn("want", F.col("step_index")), ["run_id", "restart_index", "want"], "left").join(last, ["run_id", "restart_index"])
     return met.select("run_id", "restart_index", "want", F.coalesce("step_index", "last").alias("step_index"))
@@ -273,20 +273,3 @@ def shortest_path_lengths(spark, sf):
     ends = g.edges.groupBy("way_id").agg(F.min(F.struct("eid", "u")).alias("a"), F.max(F.struct("eid", "v")).alias("b")).select("way_id", F.col("a.u").alias("src"), F.col("b.v").alias("dst"))
     return shortest(ends, g.edges).select("way_id", *_r(4, length="length"), "hops")
 
-
-
-
-def _search_input(spark, sf):
-    g = _native(spark, sf)
-    return G.connect(g), g.nodes.count()
-
-
-@query()
-def corridor_route(spark, sf):
-    """Every stroke fitted into the graph and routed where it lies."""
-    from wayspark.operators import search as R
-
-    g, n = _search_input(spark, sf)
-    lines = roads.strokes(spark, sf).groupBy(F.col("stroke_id").alias("sketch_id")).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("points"))
-    one = lines.select("sketch_id", "points", *(F.lit(v).alias(c) for c, v in (("tx", 0.0), ("ty", 0.0), ("theta", 0.0), ("scale", 0.3))))
-    return R.evaluate(one.repartition("sketch_id"), R.shared(spark, g, n)).select("sketch_id", F.size("edge_ids").alias("edges"), *_r(6, score="score_total", shape="shape", length="route_length_m"))

@@ -18,8 +18,8 @@ FITS = SQL + """, sk as (select *, cast(floor(stroke_id / 3) as bigint) as sketc
   select stroke_id, cast(i as int) as i, round(bx, 4) as bx, round(by_, 4) as by_ from (select stroke_id, i, """ + FIT + " from sk join sc on sk.{by} = sc.k)"
 
 
-def _sketches(spark, sf, cut: int = 32):
-    return roads.strokes(spark, sf).where(F.col("i") < cut).withColumn("sketch_id", F.expr("cast(floor(stroke_id / 3) as bigint)"))
+def _sketches(spark, sf):
+    return roads.strokes(spark, sf).withColumn("sketch_id", F.expr("cast(floor(stroke_id / 3) as bigint)"))
 
 
 @query(FITS.format(by="stroke_id"))
@@ -38,25 +38,25 @@ def sketch_limits(spark, sf):
 
 
 T, U = geo.crossing(("a.ax", "a.ay", "a.bx", "a.by_"), ("b.ax", "b.ay", "b.bx", "b.by_"))
-TOUCH = SQL + f""", sk as (select *, cast(floor(stroke_id / 3) as bigint) as sketch_id from st where i < 8), sg as (select * from (select sketch_id, stroke_id, i, x as ax, y as ay, lead(x) over w as bx, lead(y) over w as by_ from sk window w as (partition by stroke_id order by i)) where bx is not null),
+TOUCH = SQL + f""", sk as (select *, cast(floor(stroke_id / 3) as bigint) as sketch_id from st), sg as (select * from (select sketch_id, stroke_id, i, x as ax, y as ay, lead(x) over w as bx, lead(y) over w as by_ from sk window w as (partition by stroke_id order by i)) where bx is not null),
   cr as (select a.sketch_id, a.stroke_id as a, b.stroke_id as b, a.i as ai, b.i as bi, {T} as t, {U} as u from sg a join sg b on a.sketch_id = b.sketch_id and (a.stroke_id < b.stroke_id))"""
 
 
 @query(TOUCH + "select distinct sketch_id, a, b from cr where t between -1e-10 and 1e0 + 1e-10 and u between -1e-10 and 1e0 + 1e-10")
 def stroke_touch(spark, sf):
-    return S.touching(_sketches(spark, sf, 8))
+    return S.touching(_sketches(spark, sf))
 
 
 @query("with recursive" + TOUCH.removeprefix("with") + """, pr as (select distinct a, b from cr where t between -1e-10 and 1e0 + 1e-10 and u between -1e-10 and 1e0 + 1e-10),
   reach(n, m) as (select a, b from pr union select b, a from pr union select r.n, e.m from reach r join (select a as n, b as m from pr union all select b, a from pr) e on r.m = e.n)
   select stroke_id, least(stroke_id, coalesce(min(m), stroke_id)) as component from (select distinct stroke_id from sk) left join reach on n = stroke_id group by stroke_id""")
 def stroke_components(spark, sf):
-    return S.stroke_groups(_sketches(spark, sf, 8))
+    return S.stroke_groups(_sketches(spark, sf))
 
 
 @query(TOUCH + "select a, b, cast(ai as int) as ai, cast(bi as int) as bi, round(t, 6) as t, round(u, 6) as u from cr where t > 1e-10 and t < 1e0 - 1e-10 and u > 1e-10 and u < 1e0 - 1e-10")
 def sketch_split_points(spark, sf):
-    s = S.stroke_segments(_sketches(spark, sf, 8))
+    s = S.stroke_segments(_sketches(spark, sf))
     a, b = (s.select("sketch_id", *(F.col(c).alias(f"{p}_{c}") for c in ("stroke_id", "i", "ax", "ay", "bx", "by_"))) for p in "ab")
     t, u = (x.replace("a.", "a_").replace("b.", "b_") for x in (T, U))
     m = a.join(b, "sketch_id").where("a_stroke_id < b_stroke_id").select(F.col("a_stroke_id").alias("a"), F.col("b_stroke_id").alias("b"), F.col("a_i").alias("ai"), F.col("b_i").alias("bi"), F.expr(t).alias("t"), F.expr(u).alias("u"))
@@ -94,5 +94,5 @@ def rdp_simplify(spark, sf):
 
 @query()
 def single_path(spark, sf):
-    points = _sketches(spark, sf, 8)
+    points = _sketches(spark, sf)
     return S.single_paths(points, S.stroke_groups(points)).select("component", "i", *_r(6, x="x", y="y"))
