@@ -88,3 +88,37 @@ def grid(span_x: str, span_y: str) -> str:
 
 AXES = "(select 0 as {c} union all select 1 union all select 2{more})"
 AXES_SQL = f"axes as (select * from {AXES.format(c='a', more='')} ta cross join {AXES.format(c='i', more=' union all select 3')} ti cross join {AXES.format(c='j', more=' union all select 3')} tj cross join {AXES.format(c='s', more='')} ts)"
+
+
+def has_route(components: Column, edge_ids: Column) -> Column:
+    """Whether any part has edges; without parts, whether there are edges at all."""
+    return F.when(F.size(components) > 0, F.exists(components, lambda c: F.size(c) > 0)).otherwise(F.size(edge_ids) > 0)
+
+
+def from_steps(steps: DataFrame) -> DataFrame:
+    """Trace steps as candidates: missing terms are 0, a missing transform leaves all as it is, and where no edges are
+    listed those of the first part are."""
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("unreachable", "fallback", "tx", "ty", "theta")}
+    parts = F.coalesce("edge_ids_per_component", F.array().cast("array<array<string>>"))
+    ids = F.coalesce("edge_ids", F.array().cast("array<string>"))
+    out = steps.withColumns({**zero, "scale": F.coalesce("scale", F.lit(1.0)), "edge_ids_per_component": parts, "edge_ids": ids})
+    first = F.when((F.size("edge_ids") == 0) & (F.size("edge_ids_per_component") > 0), F.get("edge_ids_per_component", 0)).otherwise(F.col("edge_ids"))
+    return out.withColumn("edge_ids", first)
+
+
+def routed(pool: DataFrame, margin: float, most_fallback: float = 0.8) -> DataFrame:
+    """``viable`` candidates that have a route and fall back to shortest paths no more than allowed."""
+    near = viable(pool, margin)
+    return near.where(has_route(F.col("edge_ids_per_component"), F.col("edge_ids")) & (F.col("fallback") <= most_fallback))
+
+
+def escapes(trace: DataFrame, threshold: int, reheat: int) -> DataFrame:
+    """(run_id, restart_index, triggers, reheats): how often a restart had gone ``threshold`` steps, or a multiple of
+    them, without a new best, and the steps it then spent reheated."""
+    w = W.partitionBy("run_id", "restart_index").orderBy("step_index")
+    before = F.min("score_total").over(w.rowsBetween(W.unboundedPreceding, -1))
+    marked = trace.withColumn("best", F.coalesce(F.col("score_total") < before, F.lit(True)).cast("int")).withColumn("grp", F.sum("best").over(w))
+    since = F.row_number().over(W.partitionBy("run_id", "restart_index", "grp").orderBy("step_index")) - 1
+    late = marked.withColumn("since", since).where(F.col("since") >= threshold)
+    some = late.groupBy("run_id", "restart_index").agg(F.count_if(F.col("since") % threshold == 0).alias("triggers"), F.count_if(F.col("since") % threshold < reheat).alias("reheats"))
+    return trace.select("run_id", "restart_index").distinct().join(some, ["run_id", "restart_index"], "left").fillna(0, ["triggers", "reheats"])

@@ -126,3 +126,42 @@ def build(points: DataFrame, o: GraphOptions = GraphOptions()) -> Graph:
     g = merge_roads(g, o) if o.merge_roads else g
     g = G.split(g) if o.split_crossings else g
     return prune(g, o.prune_angle_deg) if o.prune_chains else _columns(g)
+
+
+def sources_and_targets(edges: DataFrame, member: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each component: the edges that would move, and those of its primary way."""
+    held = member.join(edges, member["node"] == edges["eid"]).drop("node").join(primary_ways(edges, member), "component")
+    return held.where("way_id <> way").drop("way"), held.where("way_id = way").drop("way")
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select("component", F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("v").alias("id"), F.col("bx").alias("x"), F.col("by_").alias("y")))).alias("p")).select("component", "p.*")
+
+
+def endpoint_span(sources: DataFrame) -> DataFrame:
+    """(component, span): the greatest distance between two ends of its sources. It lies between two points of which each
+    is the outermost in some direction, so points well inside the component's diamond are left out of the pairs."""
+    ends = _ends(sources).dropDuplicates(["component", "id"])
+    w = W.partitionBy("component")
+    wide = ends.select("*", *(f(F.expr(e)).over(w).alias(n) for n, f, e in (("p0", F.min, "x + y"), ("p1", F.max, "x + y"), ("m0", F.min, "x - y"), ("m1", F.max, "x - y"), ("x0", F.min, "x"), ("x1", F.max, "x"), ("y0", F.min, "y"), ("y1", F.max, "y"))))
+    reach = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), (F.col("p1") - F.col("p0")) / F.sqrt(F.lit(2.0)), (F.col("m1") - F.col("m0")) / F.sqrt(F.lit(2.0)))
+    # the span is at least ``reach``; a point from which no corner of the box is as far can't be an end of it
+    far = F.sqrt(F.pow(F.greatest(F.col("x") - F.col("x0"), F.col("x1") - F.col("x")), 2) + F.pow(F.greatest(F.col("y") - F.col("y0"), F.col("y1") - F.col("y")), 2))
+    outer = wide.where(far >= reach - 1e-6).select("component", "x", "y")
+    other = outer.select("component", F.col("x").alias("ox"), F.col("y").alias("oy"))
+    return outer.join(other, "component").groupBy("component").agg(F.max(F.expr(geo.dist("x", "y", "ox", "oy"))).alias("span"))
+
+
+def best_target(sources: DataFrame, targets: DataFrame, least: float, ratio: float) -> DataFrame:
+    """(component, eid, cost, far): of the primary way's edges that are long enough for the sources' span, the one
+    nearest to all their ends by the sum of squares, then by the greatest distance, then by id."""
+    need = F.when(F.col("span") > 1e-6, F.greatest(F.lit(least), ratio * F.col("span"))).otherwise(F.lit(least))
+    long = targets.join(endpoint_span(sources), "component").where(F.expr(geo.dist("ax", "ay", "bx", "by_")) + 1e-9 >= need)
+    d = F.expr(geo.point_segment("x", "y", "ax", "ay", "bx", "by_"))
+    cost = _ends(sources).join(long, "component").groupBy("component", "eid").agg(F.round(F.sum(d * d), 4).alias("cost"), F.round(F.max(d), 6).alias("far"))
+    return cost.groupBy("component").agg(F.min(F.struct("cost", "far", "eid")).alias("m")).select("component", "m.eid", "m.cost", "m.far")
+
+
+def provenance(edges: DataFrame, member: DataFrame) -> DataFrame:
+    """(component, way_ids): the ways whose edges it holds, each once, in order."""
+    return member.join(edges, member["node"] == edges["eid"]).groupBy("component").agg(F.array_sort(F.collect_set("way_id")).alias("way_ids"))
