@@ -1,4 +1,10 @@
-"""From raw documents to a training order, in five stages; each works on all rows the one before it kept."""
+"""From raw documents to a training order, in five stages; each works on all rows the one before it kept.
+
+Every stage takes null and empty texts, null ids and sources, repeated rows, empty tables and further columns of
+any name, and says in its operator what becomes of them: the classifier scores a text without words by its bias,
+near-duplicates counts all texts without words, and rows that repeat, as one group, no text without words is
+contaminated or holds a secret, and the mix takes nothing of it, so it stands last.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group of near-duplicates."""
+    """Keeps one document, that of the smallest id, of each group whose five-word shingles are 0.8 or more alike."""
     return simhash_dedup.keep_one(docs)
 
 
