@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayspark.llm import decontamination, language_id, mixing, pii, quality_classifier, quality_rules, secrets, simhash_dedup, token_counts, url_filter
+from wayspark.llm import decontamination, language_id, mixing, pii, quality_classifier, quality_rules, secrets, simhash_dedup, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op9_mixing_order": mixing.op9_mixing_order,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "op13_warc": warc.op13_warc,
 }
 ORACLES = {
     "op2_decontamination": decontamination.OP2_SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op9_mixing": mixing.OP9_SQL,
     "op9_mixing_order": mixing.OP9_ORDER_SQL,
     "op10_secret_scans": secrets.OP10_SQL,
+    "op13_warc": warc.OP13_SQL,
 }
