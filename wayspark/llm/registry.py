@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayspark.llm import decontamination, language_id, mixing, pii, quality_classifier, quality_rules, secrets, simhash_dedup, spelling, token_counts, url_filter, warc
+from wayspark.llm import decontamination, hard_negatives, language_id, mixing, pii, quality_classifier, quality_rules, secrets, simhash_dedup, spelling, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_mixing_order": mixing.op9_mixing_order,
     "op10_secret_scans": secrets.op10_secret_scans,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_warc": warc.op13_warc,
 }
 ORACLES = {
@@ -26,5 +27,6 @@ ORACLES = {
     "op9_mixing_order": mixing.OP9_ORDER_SQL,
     "op10_secret_scans": secrets.OP10_SQL,
     "op11_spelling_variants": spelling.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
     "op13_warc": warc.OP13_SQL,
 }
