@@ -24,24 +24,22 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every end of ``edges(a, b)``; component is the smallest node reachable.
 
     Nulls in a or b are no edges; self-loops make a component of one; an empty table gives none. Each round
-    is written to the shared folder, so nothing is kept on one executor and lineage stays short.
+    is written to the shared folder, so nothing is kept on one executor and lineage stays short; rounds end when nothing changes.
     """
     edges = written(edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "edges")
     alone = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
     edges = edges.where(F.col("a") != F.col("b"))
     mark = None
-    for _ in range(max_rounds):
+    while True:
         edges = written(_stars(_stars(edges, True), False), "stars")
         row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (row[0], row[1]) == mark:
             break
         mark = (row[0], row[1])
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     linked = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
     lone = alone.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))

@@ -13,11 +13,11 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a folder of our own in local mode, and one beside the
-    warehouse elsewhere."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own in local mode, and an error on a cluster, as no other
+    folder is known to be shared."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at and not spark.sparkContext.master.startswith("local"):
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_wayspark"
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not at:
         app = spark.sparkContext.applicationId
         if app not in _local:
@@ -27,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: it survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/wayspark-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
