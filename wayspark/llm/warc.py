@@ -84,7 +84,7 @@ def write_archives(records: DataFrame, path: str, least_bytes: int = LEAST_BYTES
     """
     payload = F.coalesce(F.col("payload").cast("binary"), F.lit(b""))
     staged = records.select(F.monotonically_increasing_id().alias("uid"), "key", F.col("uri").cast("string").alias("uri"), payload.alias("payload"))
-    staged = written(staged.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long")), "staged")
+    staged = written(staged.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long")), "staged", "zstd")
     heads = resolve(staged.select("uid", "key", "payload_digest", "payload_bytes"), least_bytes).select("uid", "record_type", "original")
     mean = staged.agg(F.avg(F.col("payload_bytes"))).first()[0] or 0
     typed = staged.withColumn("key", F.col("key").cast("string")).join(heads, "uid")
