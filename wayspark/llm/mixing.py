@@ -80,14 +80,14 @@ def time_of(words: Column, target: Column, slope: Column) -> Column:
     return F.when(target > 0, F.least(2 * share / (rate + F.sqrt(rate * rate + 4 * slope * share)), F.lit(1.0)))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h, bucket), written once: the text is read a single time."""
+def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, h, bucket, *carry), written once: the text is read a single time."""
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
-    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h"))
+    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h"), *carry)
     return written(slim.withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)), "sized")
 
 
-def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_REPEATS, tilt: float = TILT) -> DataFrame:
+def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_REPEATS, tilt: float = TILT, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, start, places, taken, position, n_places.
 
     ``places`` is an array of (epoch, begin, position, words), one for each time the mix comes to the document;
@@ -97,9 +97,10 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_
 
     Null texts have size 0; a null source is a source of its own, ranked last; rows that repeat a doc_id stand
     side by side in order of size, so reruns agree; rows without an id stand in the order of their texts' hashes.
-    Empty documents and sources take nothing; an empty table gives an empty result. Other columns are ignored.
+    Empty documents and sources take nothing; an empty table gives an empty result. Other columns are ignored, but for those that
+    ``carry`` names, which mustn't have a name of these.
     """
-    rows = sized(docs)
+    rows = sized(docs, carry)
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     plan = tilted(targets(totals.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), cycle, max_repeats), tilt)
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -108,7 +109,7 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_
     inside = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, placed["source"].eqNullSafe(starts["s"]) & (placed["bucket"] == starts["b"]))
-    placed = placed.select("doc_id", "source", "size", "source_size", "target", "slope", (F.col("bucket_start") + F.col("inside")).alias("start"))
+    placed = placed.select("doc_id", "source", "size", "source_size", "target", "slope", (F.col("bucket_start") + F.col("inside")).alias("start"), *carry)
     target, slope = F.col("target"), F.col("slope")
 
     def place(epoch: Column) -> Column:
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_
         return F.struct(epoch.alias("epoch"), begin.alias("begin"), time_of(begin, target, slope).alias("position"), words.alias("words"))
 
     places = F.filter(F.array(*(place(F.lit(e)) for e in range(max_repeats))), lambda p: p["words"] > 0)
-    placed = placed.select("doc_id", "source", "size", "source_size", "target", "start", F.when(F.col("size") > 0, places).otherwise(F.filter(places, lambda p: F.lit(False))).alias("places"))
+    placed = placed.select("doc_id", "source", "size", "source_size", "target", "start", F.when(F.col("size") > 0, places).otherwise(F.filter(places, lambda p: F.lit(False))).alias("places"), *carry)
     taken = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p["words"])
     return placed.select("*", taken.alias("taken"), F.get("places", 0)["position"].alias("position"), F.size("places").cast("long").alias("n_places"))
 
@@ -129,16 +130,16 @@ def by_position(mixed: DataFrame) -> DataFrame:
     return each.select("position", "doc_id", "source", "epoch", "words").orderBy("position", "doc_id", "epoch", "source", "words")
 
 
-def curriculum(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_REPEATS, tilt: float = TILT) -> DataFrame:
-    """``mix`` dealt out, in training order: doc_id, source, size, source_size, target, taken, start, position, epoch.
+def curriculum(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeats: int = MAX_REPEATS, tilt: float = TILT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``mix`` dealt out, in training order: doc_id, source, size, source_size, target, taken, start, position, epoch, *carry.
 
     A document has a row for each place; ``taken``, ``start`` and ``position`` are that place's. ``size`` stands on
     a document's first row and is 0 on its repeats, so both add up over the rows. Documents without a place
     follow the training order, with taken 0 and no position and epoch. Cases are those of ``mix``.
     """
-    each = mix(docs, cycle, max_repeats, tilt).drop("position").select("*", F.inline_outer("places"))
+    each = mix(docs, cycle, max_repeats, tilt, carry).drop("position").select("*", F.inline_outer("places"))
     size = F.when(F.col("epoch") > 0, F.lit(0).cast("long")).otherwise(F.col("size")).alias("size")
-    rows = each.select("doc_id", "source", size, "source_size", "target", F.coalesce("words", F.lit(0).cast("long")).alias("taken"), F.coalesce("begin", "start").alias("start"), "position", "epoch")
+    rows = each.select("doc_id", "source", size, "source_size", "target", F.coalesce("words", F.lit(0).cast("long")).alias("taken"), F.coalesce("begin", "start").alias("start"), "position", "epoch", *carry)
     return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id", "epoch", "source", "start")
 
 
