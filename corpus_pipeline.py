@@ -9,6 +9,7 @@ contaminated or holds a secret, and the mix takes nothing of it, so it stands la
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayspark.llm import decontamination, mixing, quality_classifier, secrets, simhash_dedup
 from wayspark.llm.common import table, written
@@ -36,8 +37,9 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The curriculum: a row for each epoch of a document, in training order; documents not taken stand last."""
-    return mixing.curriculum(docs)
+    """The curriculum: a row for each epoch of a document, in training order; documents not taken stand last. ``text_file`` is the
+    Parquet file that holds the document as it came here, its text masked (empty if ``docs`` isn't read from files)."""
+    return mixing.curriculum(docs.withColumn("text_file", F.input_file_name()), carry=("text_file",))
 
 
 STAGES = [
