@@ -108,8 +108,13 @@ def test_stages_are_the_plain_ones(spark, corpus):
             positions = [g["position"] for g in got if g["position"] is not None]
             assert positions == sorted(positions)
         docs = spark.createDataFrame([tuple(g[c] for c in out.columns) for g in got], out.schema)
-    run = corpus_pipeline.run(spark, at).collect()
-    assert sorted(map(str, run)) == sorted(map(str, docs.collect()))
+    run = corpus_pipeline.run(spark, at)
+    assert sorted(map(str, run.drop("text_file").collect())) == sorted(map(str, docs.drop("text_file").collect()))
+    # the texts that the result points to are the masked ones
+    files = [r.text_file for r in run.select("text_file").distinct().collect()]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(*files).collect()}
+    assert {r.doc_id for r in run.collect()} == texts.keys() and sum("[SECRET]" in (t or "") for t in texts.values()) == 2
+    assert not any(KEY in (t or "") or "82da0c4f9f2588bda2" in (t or "") for t in texts.values())
 
 
 def test_empty_tables(spark, tmp_path_factory, corpus):
