@@ -218,7 +218,8 @@ def split(graph: Graph, clear: float = 0.15) -> Graph:
     stops = ends.unionByName(cuts.select("eid", "t", "x", "y", F.col("joint").alias("id")))
     w = W.partitionBy("eid").orderBy("t", "id")
     parts = stops.select("eid", F.row_number().over(w).alias("k"), F.col("id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("id").over(w).alias("v"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by_"), F.count(F.lit(1)).over(W.partitionBy("eid")).alias("n")).where("v is not null")
-    edges = parts.join(graph.edges.select("eid", "way_id", "highway"), "eid").select(F.when(F.col("n") > 2, F.concat_ws(":", "eid", F.lit("S"), F.col("k").cast("string"))).otherwise(F.col("eid")).alias("eid"), "way_id", "highway", "u", "v", "ax", "ay", "bx", "by_")
+    more = [c for c in ("way_ids",) if c in graph.edges.columns]
+    edges = parts.join(graph.edges.select("eid", "way_id", "highway", *more), "eid").select(F.when(F.col("n") > 2, F.concat_ws(":", "eid", F.lit("S"), F.col("k").cast("string"))).otherwise(F.col("eid")).alias("eid"), "way_id", "highway", "u", "v", "ax", "ay", "bx", "by_", *more)
     new = cuts.groupBy(F.col("joint").alias("id")).agg(F.first("x").alias("x"), F.first("y").alias("y")).select("id", "x", "y", F.array().cast("array<bigint>").alias("osm_ids"), F.lit(False).alias("is_end"), F.lit(False).alias("merged_snap"), F.lit(False).alias("merged_osm"))
     return Graph(graph.nodes.select(new.columns).unionByName(new), edges)
 

@@ -1,13 +1,15 @@
 """Road merge and chain pruning as graph rewrites on DataFrames.
 
-Merging: each component of duplicate roads keeps the edges of its primary way (the longest, then the smallest
-id); nodes of its other edges move to their nearest point on that way, where an old node within reach is taken
-or a new one is made, and edges follow. Components are rewritten side by side, each by its own rows.
-Pruning: a vertex of degree two inside one way goes if the turns since the last kept vertex stay small.
+Merging: each component of duplicate roads becomes its primary way (the longest, then the smallest id); ends of its other
+edges move to their nearest point on that way, where the first anchor within reach is taken or a new one is made, edges follow,
+and the way is cut at its anchors. Components that share no node are rewritten side by side, others in their order.
+Pruning: a vertex at which two edges of one way end goes if the turns since the last kept vertex stay small.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,12 +17,15 @@ from pyspark.sql import functions as F
 from wayspark.config import GraphOptions
 from wayspark.functions import geo
 from wayspark.operators import graph as G
+from wayspark.operators.chains import first_anchors, ordered_nodes, ranked, thinned
 from wayspark.operators.graph import Graph
 from wayspark.storage import written
 
 
 def _columns(graph: Graph) -> Graph:
-    return Graph(graph.nodes.select("id", "x", "y", "osm_ids", "is_end", "merged_snap", "merged_osm"), graph.edges.select("eid", "way_id", "highway", "u", "v", "ax", "ay", "bx", "by_"))
+    """The columns of a cleaned graph; ``way_ids`` are the ways that an edge stands for, at first its own."""
+    ids = F.col("way_ids") if "way_ids" in graph.edges.columns else F.array_compact(F.array("way_id")).alias("way_ids")
+    return Graph(graph.nodes.select("id", "x", "y", "osm_ids", "is_end", "merged_snap", "merged_osm"), graph.edges.select("eid", "way_id", "highway", "u", "v", "ax", "ay", "bx", "by_", ids))
 
 
 def _saved(graph: Graph) -> Graph:
@@ -35,86 +40,136 @@ def primary_ways(edges: DataFrame, member: DataFrame) -> DataFrame:
     return own.groupBy("component").agg(F.max(F.struct("len", (-F.col("way_id")).alias("w"))).alias("m")).select("component", (-F.col("m.w")).alias("way"))
 
 
-def merge_roads(graph: Graph, o: GraphOptions = GraphOptions()) -> Graph:
-    """Duplicate roads folded onto their primary way. A component with a node farther from that way than the
-    offset allows (twice the merge distance, 50 m at least, unless set) stays as it is."""
-    graph = _saved(graph)
-    e = graph.edges
-    pairs = written(G.road_pairs(e, o.merge_distance_m, o.merge_angle_deg), "pairs")
-    ok = G.ways_ok(e, G.way_pairs(pairs), o.merge_min_overlap_m, o.merge_min_overlap_ratio, o.merge_angle_deg)
-    member = G.merge_components(pairs, ok, o.merge_angle_deg)
-    way = primary_ways(e, member)
-    held = written(member.join(way, "component").join(e, member["node"] == e["eid"]).drop("node"), "held")
-    target = held.where("way_id = way").select("component", F.col("eid").alias("t_eid"), F.col("u").alias("t_u"), F.col("v").alias("t_v"), *(F.col(c).alias(f"t_{c}") for c in ("ax", "ay", "bx", "by_")))
-    source = held.where("way_id <> way")
-    ends = source.select("component", F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("v").alias("id"), F.col("bx").alias("x"), F.col("by_").alias("y")))).alias("n")).select("component", "n.*").distinct()
-    t = F.expr(geo.along("x", "y", "t_ax", "t_ay", "t_bx", "t_by_"))
-    hit = ends.join(target, "component").withColumn("t", t).withColumn("px", F.expr("t_ax + t * (t_bx - t_ax)")).withColumn("py", F.expr("t_ay + t * (t_by_ - t_ay)"))
-    near = hit.groupBy("component", "id").agg(F.min(F.struct(F.round(F.expr(geo.dist("x", "y", "px", "py")), 9).alias("d"), "t_eid", "t", "px", "py", "t_u", "t_v", "t_ax", "t_ay", "t_bx", "t_by_")).alias("h")).select("component", "id", "h.*")
+def _targets(held: DataFrame, o: GraphOptions) -> DataFrame:
+    """(component, pos, id, x, y): the line that each component is merged on, from its primary way's edges.
+
+    Of several edges, their nodes in order, if they are one chain; a branch or a cycle refuses the component. A single edge is taken if it's
+    long enough for the span of the sources' ends."""
+    mine = held.where("way_id = way")
+    n = mine.groupBy("component").agg(F.count(F.lit(1)).alias("n_target"))
+    mine = mine.join(n, "component")
+    places = mine.select("component", F.inline(F.array(F.struct(F.col("u").alias("id"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("v").alias("id"), F.col("bx").alias("x"), F.col("by_").alias("y"))))).dropDuplicates(["component", "id"])
+    chain = ordered_nodes(mine.where("n_target > 1").select(F.col("component").alias("group"), "eid", "u", "v")).withColumnRenamed("group", "component")
+    single = mine.where("n_target = 1")
+    span = endpoint_span(held.where("way_id <> way").join(single.select("component"), "component", "left_semi"))
+    need = F.when(F.col("span") > 1e-6, F.greatest(F.lit(o.merge_min_overlap_m), o.merge_min_overlap_ratio * F.col("span"))).otherwise(F.lit(o.merge_min_overlap_m))
+    single = single.join(span, "component").where(F.expr(geo.dist("ax", "ay", "bx", "by_")) + 1e-9 >= need)
+    ends = single.select("component", F.inline(F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.col("u").alias("id")), F.struct(F.lit(1).cast("long").alias("pos"), F.col("v").alias("id")))))
+    return chain.select("component", "pos", "id").unionByName(ends).join(places, ["component", "id"]).select("component", "pos", "id", "x", "y")
+
+
+def _fitting(held: DataFrame, o: GraphOptions) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the components of ``held(component, way, <edge>)``: their lines with measures, the nearest places of their sources' ends on
+    them, and those components that can be merged as things stand."""
     limit = o.merge_max_anchor_offset_m if o.merge_max_anchor_offset_m > 0 else max(2 * o.merge_distance_m, 50.0)
-    fits = near.groupBy("component").agg(F.max("d").alias("far")).where(F.col("far") <= limit + 1e-9).select("component")
-    near = near.join(fits, "component", "left_semi")
-    # a node that several components would move goes with the first of them
-    near = near.groupBy("id").agg(F.min(F.struct("component", "d", "t_eid", "t", "px", "py", "t_u", "t_v", "t_ax", "t_ay", "t_bx", "t_by_")).alias("h")).select("id", "h.*")
-    delta = o.merge_anchor_delta_m
-    by_u, by_v = (F.expr(geo.dist("px", "py", f"t_{x}", f"t_{y}")) <= delta for x, y in (("ax", "ay"), ("bx", "by_")))
-    # projections on one edge within the delta of each other share the anchor of their cell of that size
-    spot = F.concat_ws(":", F.lit("roadmerge"), "t_eid", F.floor(F.col("t") * F.expr(geo.dist("t_ax", "t_ay", "t_bx", "t_by_")) / max(delta, 1e-6)).cast("string"))
-    anchor = F.when(by_u, F.col("t_u")).when(by_v, F.col("t_v")).otherwise(spot)
-    moved = written(near.withColumn("anchor", anchor).where("anchor <> id"), "moved")
-    fits = written(fits, "fits")
-    new = moved.where(F.col("anchor").startswith("roadmerge:")).groupBy(F.col("anchor").alias("id"), "t_eid").agg(F.avg("px").alias("x"), F.avg("py").alias("y"), F.avg("t").alias("t"))
-    gone = source.join(fits, "component", "left_semi").select("eid").distinct()
-    kept = e.join(gone, "eid", "left_anti")
-    # target edges are cut at their anchors
-    stops = kept.join(new.select(F.col("t_eid").alias("eid")).distinct(), "eid", "left_semi")
-    points = stops.select("eid", F.lit(0.0).alias("t"), F.col("u").alias("id"), F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(stops.select("eid", F.lit(1.0).alias("t"), F.col("v").alias("id"), F.col("bx").alias("x"), F.col("by_").alias("y"))).unionByName(new.select(F.col("t_eid").alias("eid"), "t", "id", "x", "y"))
-    w = W.partitionBy("eid").orderBy("t", "id")
-    cut = points.select("eid", F.row_number().over(w).alias("k"), F.col("id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("id").over(w).alias("v"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by_")).where("v is not null")
-    cut = cut.join(kept.select("eid", "way_id", "highway"), "eid").select(F.concat_ws(":", F.lit("roadmerge"), "eid", F.col("k").cast("string")).alias("eid"), "way_id", "highway", "u", "v", "ax", "ay", "bx", "by_")
-    edges = written(kept.join(stops.select("eid"), "eid", "left_anti").unionByName(cut), "cut")
-    nodes = graph.nodes.unionByName(new.select("id", "x", "y", F.array().cast("array<bigint>").alias("osm_ids"), F.lit(False).alias("is_end"), F.lit(False).alias("merged_snap"), F.lit(False).alias("merged_osm")))
-    to = moved.select(F.col("id").alias("old"), "anchor")
-    at = nodes.select("id", "x", "y")
-    for end, x, y in (("u", "ax", "ay"), ("v", "bx", "by_")):
-        edges = edges.join(to, edges[end] == to["old"], "left").withColumn(end, F.coalesce("anchor", end)).drop("old", "anchor", x, y)
-        edges = edges.join(at.select(F.col("id").alias(end), F.col("x").alias(x), F.col("y").alias(y)), end)
-    edges = written(edges.where("u <> v").select(e.columns), "merged")
+    line = written(_targets(held, o), "line")
+    w = W.partitionBy("component").orderBy("pos")
+    step = F.coalesce(F.expr(geo.dist("x", "y", "px", "py")), F.lit(0.0))
+    line = line.withColumns({"px": F.lag("x").over(w), "py": F.lag("y").over(w)}).withColumn("measure", F.sum(step).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    segments = line.where("px is not null").select("component", "pos", F.col("px").alias("ax"), F.col("py").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by_"), (F.col("measure") - F.expr(geo.dist("x", "y", "px", "py"))).alias("start"))
+    # the ends of the sources in the order of their edges
+    end = lambda k, i, x, y: F.struct(F.struct(F.col("eid").alias("e"), F.lit(k).alias("k")).alias("o"), F.col(i).alias("id"), F.col(x).alias("qx"), F.col(y).alias("qy"))
+    ends = held.where("way_id <> way").select("component", F.inline(F.array(end(0, "u", "ax", "ay"), end(1, "v", "bx", "by_"))))
+    ends = ends.groupBy("component", "id").agg(F.min("o").alias("o"), F.first("qx").alias("qx"), F.first("qy").alias("qy"))
+    ends = written(ends.withColumn("k", F.row_number().over(W.partitionBy("component").orderBy("o")).cast("long")).drop("o"), "ends")
+    # an end must lie within the limit of the line, so only segments in reach are met
+    t = F.expr(geo.along("qx", "qy", "ax", "ay", "bx", "by_"))
+    cell = lambda c: F.floor(F.col(c) / limit)
+    met = ends.withColumns({"cx": cell("qx"), "cy": cell("qy")}).join(G.cells(segments, limit, "ax", "ay", "bx", "by_", limit * (1 + 1e-9)), ["component", "cx", "cy"]).withColumn("t", t)
+    met = met.withColumns({"px": F.expr("ax + t * (bx - ax)"), "py": F.expr("ay + t * (by_ - ay)")}).withColumn("d", F.expr(geo.dist("qx", "qy", "px", "py"))).where(F.col("d") <= limit + 1e-9)
+    along = F.col("start") + F.col("t") * F.expr(geo.dist("ax", "ay", "bx", "by_"))
+    near = written(met.groupBy("component", "id", "k").agg(F.min(F.struct(F.round("d", 9).alias("d"), "pos", along.alias("measure"), "px", "py")).alias("m")).select("component", "id", "k", "m.measure", "m.px", "m.py"), "near")
+    lost = ends.join(near, ["component", "id"], "left_anti").select("component").distinct()
+    fits = written(line.select("component").distinct().join(ends.select("component").distinct(), "component", "left_semi").join(lost, "component", "left_anti"), "fits")
+    return line, near, fits
+
+
+def _merged(graph: Graph, held: DataFrame, line: DataFrame, near: DataFrame, o: GraphOptions) -> Graph:
+    """``graph`` with the components of ``held`` merged, no two of which share a node."""
+    to = written(first_anchors(line.select(F.col("component").alias("group"), "pos", "id", "x", "y"), near.select(F.col("component").alias("group"), "k", "id", "px", "py"), o.merge_anchor_delta_m).withColumnRenamed("group", "component"), "anchors")
+    made = to.where("made").join(near, ["component", "id"]).select("component", F.col("anchor").alias("id"), F.col("px").alias("x"), F.col("py").alias("y"), "measure")
+    stops = line.select("component", "id", "x", "y", "measure").unionByName(made)
+    w = W.partitionBy("component").orderBy("measure", "id")
+    parts = stops.select("component", F.row_number().over(w).alias("i"), F.col("id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("id").over(w).alias("v"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by_")).where("v is not null and u <> v")
+    about = held.groupBy("component").agg(F.first("way").alias("way_id"), F.min(F.when(F.col("way_id") == F.col("way"), F.struct("eid", "highway"))).alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("way_ids")))).alias("way_ids"))
+    new = parts.join(about, "component").select(F.concat_ws(":", F.lit("roadmerge"), "component", F.col("i").cast("string")).alias("eid"), "way_id", F.col("m.highway").alias("highway"), "u", "v", "ax", "ay", "bx", "by_", "way_ids")
+    rest = graph.edges.join(held.select("eid"), "eid", "left_anti")
+    spots = stops.select("component", F.col("id").alias("anchor"), "x", "y")
+    moved = to.join(spots, ["component", "anchor"]).select(F.col("id").alias("old"), "anchor", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    for side, x, y in (("u", "ax", "ay"), ("v", "bx", "by_")):
+        rest = rest.join(moved, rest[side] == moved["old"], "left").withColumns({side: F.coalesce("anchor", side), x: F.coalesce("nx", x), y: F.coalesce("ny", y)}).drop("old", "anchor", "nx", "ny")
+    # only edges that were moved can have lost their length
+    edges = written(rest.where("u <> v").select(graph.edges.columns).unionByName(new.select(graph.edges.columns)), "merged")
     used = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    orphans = moved.select("id").unionByName(source.select(F.explode(F.array("u", "v")).alias("id"))).distinct().join(used, "id", "left_anti")
-    return Graph(nodes.join(orphans, "id", "left_anti"), edges)
+    gone = to.select("id").join(used, "id", "left_anti")
+    nodes = graph.nodes.unionByName(made.select("id", "x", "y", F.array().cast("array<bigint>").alias("osm_ids"), F.lit(False).alias("is_end"), F.lit(False).alias("merged_snap"), F.lit(False).alias("merged_osm")))
+    return Graph(written(nodes.join(gone, "id", "left_anti"), "nodes"), edges)
+
+
+def merge_roads(graph: Graph, o: GraphOptions = GraphOptions()) -> Graph:
+    """Duplicate roads folded onto their primary way; ``way_ids`` of what is rewritten are those of all the component's edges.
+
+    Components are settled in the order of their smallest edge: one waits while an earlier one that may be merged yet holds a node of it,
+    and all that don't wait are rewritten at once. Refused, and left as they are, are components whose primary way is no single chain or, of one edge, too
+    short, and those with an end farther from it than the offset allows (twice the merge distance, 50 m at least, unless set).
+    """
+    graph = _saved(graph)
+    pairs = written(G.road_pairs(graph.edges, o.merge_distance_m, o.merge_angle_deg), "pairs")
+    ok = G.ways_ok(graph.edges, G.way_pairs(pairs), o.merge_min_overlap_m, o.merge_min_overlap_ratio, o.merge_angle_deg)
+    todo = written(G.merge_components(pairs, ok, o.merge_angle_deg), "members")
+    return merge_in_order(graph, todo, o)
+
+
+def merge_in_order(graph: Graph, member: DataFrame, o: GraphOptions) -> Graph:
+    """``merge_roads`` for given components ``member(node, component)`` of edges."""
+    todo = member
+    while True:
+        held = written(todo.join(graph.edges, todo["node"] == graph.edges["eid"]).drop("node").join(primary_ways(graph.edges, todo), "component"), "held")
+        line, near, fits = _fitting(held, o)
+        at = held.select("component", F.explode(F.array("u", "v")).alias("id")).distinct()
+        pairs = at.withColumnRenamed("component", "lo").join(at.withColumnRenamed("component", "hi"), "id").where("lo < hi").select("lo", "hi").distinct()
+        pairs, live, n = written(pairs, "shared"), fits, -1
+        # what can be merged, and what stands after such in a row of shared nodes, may change others yet
+        while (now := live.count()) != n:
+            n, live = now, written(live.unionByName(pairs.join(live, pairs["lo"] == live["component"]).select(F.col("hi").alias("component"))).distinct(), "live")
+        waits = written(pairs.join(live, pairs["lo"] == live["component"]).select(F.col("hi").alias("component")).distinct(), "waits")
+        go = written(fits.join(waits, "component", "left_anti"), "go")
+        if go.isEmpty():
+            return graph
+        graph = _merged(graph, *(x.join(go, "component", "left_semi") for x in (held, line, near)), o)
+        todo = written(todo.join(waits, "component", "left_semi"), "members")
 
 
 def prune(graph: Graph, degrees: float = 10.0) -> Graph:
-    """Chains thinned once: inner vertices (degree two, one way on both sides) whose turns add up to less than
-    the limit go, and each gap becomes one edge between the kept vertices. Chains run along their way's edges
-    in order; kept vertices restart the sum where the chain breaks."""
+    """Chains thinned until nothing changes: a vertex at which two edges of one way end goes if the turns since the last kept vertex stay small,
+    and each gap becomes one edge, which keeps the way ids of all it replaces. Chains are found by adjacency, whatever their edges'
+    numbers; closed chains without an end stay as they are."""
     graph = _saved(graph)
-    inner = G.degrees(graph).where("degree = 2 and ways = 1 and no_way = 0").select(F.col("id").alias("v"), F.lit(True).alias("inner"))
-    number = F.regexp_extract("eid", r":([0-9]+)(?::[A-Z]?:?[0-9]+)?$", 1).cast("long")
-    w = W.partitionBy("way_id").orderBy(number, "eid")
-    e = graph.edges.select("*", F.lead("u").over(w).alias("nu"), F.lead("bx").over(w).alias("nx"), F.lead("by_").over(w).alias("ny"), F.row_number().over(w).alias("k")).join(inner, "v", "left")
-    # an edge's end may go if the next edge starts there
-    e = e.withColumn("turn", F.when(F.col("inner") & (F.col("nu") == F.col("v")), F.expr(geo.signed_turn("ax", "ay", "bx", "by_", "nx", "ny"))))
-    limit = F.radians(F.lit(float(degrees)))
-    rows = e.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("k", "turn"))).alias("p"))
-    zero = F.struct(F.lit(0.0).alias("acc"), F.array().cast("array<int>").alias("cut"))
-
-    def step(a, x):
-        total = a["acc"] + F.coalesce(x["turn"], F.lit(0.0))
-        hit = F.abs(total) >= limit - 1e-15
-        rest = F.when(hit, total - F.signum(total) * F.floor(F.abs(total) / limit + 1e-12) * limit).otherwise(total)
-        stays = x["turn"].isNull() | hit
-        return F.struct(F.when(x["turn"].isNull(), F.lit(0.0)).otherwise(rest).alias("acc"), F.when(stays, F.concat(a["cut"], F.array(x["k"]))).otherwise(a["cut"]).alias("cut"))
-
-    cuts = rows.select("way_id", F.explode(F.aggregate("p", zero, step)["cut"]).alias("k"), F.lit(1).alias("c"))
-    order = W.partitionBy("way_id").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
-    runs = e.join(cuts, ["way_id", "k"], "left").withColumn("run", F.coalesce(F.sum("c").over(order), F.lit(0)))
-    first, last = F.min(F.struct("k", "eid", "u", "ax", "ay", "highway")).alias("a"), F.max(F.struct("k", "v", "bx", "by_")).alias("b")
-    made = runs.groupBy("way_id", "run").agg(first, last, F.count(F.lit(1)).alias("n"))
-    edges = made.select(F.when(F.col("n") > 1, F.concat_ws(":", F.lit("prune"), "a.eid")).otherwise(F.col("a.eid")).alias("eid"), "way_id", F.col("a.highway").alias("highway"), F.col("a.u").alias("u"), F.col("b.v").alias("v"), F.col("a.ax").alias("ax"), F.col("a.ay").alias("ay"), F.col("b.bx").alias("bx"), F.col("b.by_").alias("by_")).where("u <> v")
-    used = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    dropped = inner.select(F.col("v").alias("id")).join(used, "id", "left_anti")
+    inner = G.degrees(graph).where("degree = 2 and ways = 1 and no_way = 0").select("id")
+    # edges whose ends both stay are no one's business
+    near = graph.edges.select("eid", F.explode(F.array("u", "v")).alias("id")).join(inner, "id", "left_semi").select("eid").distinct()
+    chain = ranked(graph.edges.join(near, "eid", "left_semi"), inner).where("n > 1").join(graph.edges, "eid")
+    way = lambda x, y, a, b: F.when(F.col("forward"), F.col(x)).otherwise(F.col(a)).alias(y)
+    rows = chain.select("chain", F.struct("rank", "eid", "highway", "way_id", "way_ids", "a", "b", way("ax", "sx", "bx", ""), way("ay", "sy", "by_", ""), way("bx", "tx", "ax", ""), way("by_", "ty", "ay", "")).alias("e"))
+    lists = rows.groupBy("chain").agg(F.array_sort(F.collect_list("e")).alias("edges"))
+    point = lambda i, x, y, k: F.struct(i.alias("id"), x.alias("x"), y.alias("y"), k.cast("int").alias("k"))
+    head = F.get("edges", F.lit(0))
+    points = F.concat(F.array(point(head["a"], head["sx"], head["sy"], F.lit(0))), F.transform("edges", lambda e: point(e["b"], e["tx"], e["ty"], e["rank"] + 1)))
+    lists = written(lists.withColumn("points", points), "chains")
+    kept = thinned(lists.select("chain", "points"), math.radians(degrees))
+    gaps = F.transform(F.sequence(F.lit(1), F.size("kept") - 1), lambda i: F.struct(F.get("kept", i - 1).alias("p"), F.get("kept", i).alias("q")))
+    spans = kept.select("chain", F.col("points").alias("kept")).withColumn("gap", F.explode(gaps)).select("chain", "gap.p", "gap.q").join(lists.select("chain", "edges"), "chain")
+    lo = F.least("p.k", "q.k")
+    spans = spans.where(F.abs(F.col("p.k") - F.col("q.k")) > 1).withColumn("over", F.slice("edges", lo + 1, F.abs(F.col("p.k") - F.col("q.k"))))
+    new = spans.select(
+        F.concat_ws(":", F.lit("prune"), F.get("over", F.lit(0))["eid"]).alias("eid"), F.get("over", F.lit(0))["way_id"].alias("way_id"), F.get("over", F.lit(0))["highway"].alias("highway"),
+        F.col("p.id").alias("u"), F.col("q.id").alias("v"), F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by_"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("over", lambda e: e["way_ids"])))).alias("way_ids"), F.transform("over", lambda e: e["eid"]).alias("gone"), F.transform("over", lambda e: e["b"]).alias("mid"),
+    )
+    new = written(new, "spans")
+    edges = graph.edges.join(new.select(F.explode("gone").alias("eid")), "eid", "left_anti").unionByName(new.select(graph.edges.columns))
+    # of a gap's edges all but the last end at vertices that go
+    dropped = new.select(F.explode(F.slice("mid", 1, F.size("mid") - 1)).alias("id")).distinct()
     return Graph(graph.nodes.join(dropped, "id", "left_anti"), edges)
 
 

@@ -23,5 +23,6 @@ def prune_graph(spark, sf):
 
 @query()
 def graph_build(spark, sf):
-    g = X.build(_points(spark, sf), GraphOptions())
-    return g.nodes.agg(F.count(F.lit(1)).alias("nodes")).join(g.edges.agg(F.count(F.lit(1)).alias("edges")))
+    """The edges of the whole build, each with the places of its ends and the ways it stands for."""
+    e = X.build(_points(spark, sf), GraphOptions()).edges
+    return e.select("eid", "way_id", "u", "v", *_r(3, ax="ax", ay="ay", bx="bx", by_="by_"), F.array_join(F.col("way_ids").cast("array<string>"), ",").alias("way_ids"))
