@@ -1,7 +1,10 @@
 """The trained operators: fitting against plain versions, and held-out results."""
 
 import itertools
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,51 @@ def test_classifier_scores_are_sparse_dot_products(spark):
         assert np.isclose(got[i], 1 / (1 + np.exp(-(m.weights[slots] @ values + 0.25))))
 
 
+def plain_features(text):
+    """{slot: value} of a text by a dictionary: words and marks, and pairs of neighbours, hashed with whole numbers."""
+    full, p = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mix(h):
+        h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & full
+        return h ^ (h >> 29)
+
+    low = re.sub(b"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+    h = [mix(sum((b + 1) * pow(p, i, 2**64) for i, b in enumerate(w)) & full) for w in re.findall(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff \t-\r]+", low)]
+    n = Counter(x >> (64 - quality_classifier.LOG2_SLOTS) for x in h + [mix((a * 31 + b) & full) for a, b in zip(h, h[1:])])
+    return {slot: c * quality_classifier.SCALE / n.total() for slot, c in n.items()}
+
+
+def test_features_are_a_plain_dictionary():
+    texts = [prose(30), "Ab ab, AB!! x-y 12é3", "", None, "one", "é " * 9, "\t a\n\nb ", prose(2000)]
+    for text, (slots, values) in zip(texts, quality_classifier._sparse(pa.array(texts, type=pa.string()))):
+        want = plain_features(text)
+        assert dict(zip(slots.tolist(), values.tolist())) == want
+
+
+def test_ftrl_is_a_plain_loop():
+    """Per-coordinate follow-the-regularised-leader with dictionaries, one example after another."""
+    r, alpha, beta, l1, l2 = np.random.default_rng(2), 1.0, 1.0, 0.002, 0.002
+    rows = [plain_features(prose(12) + (" good" if y else " bad!")) for y in (labels := r.integers(0, 2, 40).astype(float))]
+    z, n, last = Counter(), Counter(), 1 << quality_classifier.LOG2_SLOTS
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for row, y in zip(rows, labels):
+            x = row | {last: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    got = quality_classifier.ftrl([(np.array(list(x)), np.array(list(x.values()))) for x in rows], labels, 3)
+    want = {i: weight(i) for i in z}
+    assert all(np.isclose(got[i], w, atol=1e-9) for i, w in want.items())
+    assert not np.delete(got, list(want)).any() and np.abs(got).max() > 0.1
+
+
 def test_classifier_fit_cases(spark, odd):  # noqa: F811
     d = docs(spark, [prose(30) for _ in range(20)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 1), (None, 1), (4, None), (99, 1)], "doc_id long, quality int")
