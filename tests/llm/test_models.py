@@ -59,7 +59,8 @@ def test_features_are_a_plain_dictionary():
 def test_ftrl_is_a_plain_loop():
     """Per-coordinate follow-the-regularised-leader with dictionaries, one example after another."""
     r, alpha, beta, l1, l2 = np.random.default_rng(2), 1.0, 1.0, 0.002, 0.002
-    rows = [plain_features(prose(12) + (" good" if y else " bad!")) for y in (labels := r.integers(0, 2, 40).astype(float))]
+    labels = r.integers(0, 2, 40).astype(float)
+    rows = [plain_features(prose(12) + (" good" if y else " bad!")) for y in labels]
     z, n, last = Counter(), Counter(), 1 << quality_classifier.LOG2_SLOTS
 
     def weight(i):
