@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayspark.llm.common import let, table, words
+from wayspark.llm.common import let, table, words, written
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -119,6 +119,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str, policy: str = "v2") -> D
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits", "policy")
 
 
+def op5_quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of every policy from one stored ledger: the texts are read and the rules evaluated once, policies read the ledger."""
+    stored = written(ledger(table(spark, sf_dir, "documents")).select("doc_id", "fail_bits"), "ledger")
+    each = [ablations(stored, p).select(F.lit(v).alias("policy"), "rule", "n_failed", "n_only", "n_kept_without") for v, p in POLICIES.items()]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 #: The same rows in DuckDB.
 OP5_SQL = """
 with w as (select row_number() over () as uid, doc_id, coalesce(text, '') as text,
@@ -138,3 +148,9 @@ b as (select *, cast((n_words < 10)::int + 2 * (100 * n_repeat_words > 20 * n_wo
     + 32 * (2 * n_upper > word_chars)::int as int) as fail_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 as base_failed, fail_bits = 0 as kept, fail_bits, 'v2' as policy from b
 """
+
+#: Every rule of every policy in DuckDB.
+OP5_ABLATION_SQL = f"""with q as ({OP5_SQL}),
+rules(policy, mask, rule, bit) as (values {", ".join(f"('{v}', {p.mask}, '{r}', {BIT[r]})" for v, p in POLICIES.items() for r in p.rules)})
+select rules.policy, rule, count(*) filter ((fail_bits & mask & bit) <> 0) as n_failed, count(*) filter ((fail_bits & mask) = bit) as n_only,
+  count(*) filter ((fail_bits & mask & ~bit) = 0) as n_kept_without from q cross join rules group by rules.policy, rule"""

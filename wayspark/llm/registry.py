@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filters": url_filter.op3_url_filters,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op5_quality_rules_ablation": quality_rules.op5_quality_rules_ablation,
     "op6_language_id": language_id.op6_language_id,
     "op7_simhash_near_dedup": simhash_dedup.op7_simhash_near_dedup,
     "op8_pii": pii.op8_pii,
@@ -23,6 +24,7 @@ QUERIES = {
 ORACLES = {
     "op2_decontamination": decontamination.OP2_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
+    "op5_quality_rules_ablation": quality_rules.OP5_ABLATION_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op9_mixing_order": mixing.OP9_ORDER_SQL,
     "op10_secret_scans": secrets.OP10_SQL,
