@@ -104,3 +104,14 @@ def test_road_pairs_are_all_pairs(spark, angle):
             if f"e{i}" < f"e{j}" and i % 7 != j % 7 and math.degrees(turn) <= angle and far <= 20:
                 want.add((f"e{i}", f"e{j}"))
     assert got == want and want
+
+
+def test_boxes_of_all_sizes_hold_their_points(spark):
+    r = random.Random(6)
+    at = [(k, r.uniform(-3000, 3000), r.uniform(-3000, 3000)) for k in range(300)] + [(300, 100.0, -200.0), (301, None, 0.0)]
+    boxes = [(k, x, y, x + r.choice([0, 50, 99, 100, 800, 6000]), y + r.choice([0, 100, 300, 5000])) for k, x, y in ((k, r.uniform(-3000, 3000), r.uniform(-3000, 3000)) for k in range(60))]
+    boxes += [(60, 100.0, -200.0, 100.0, -200.0), (61, 0.0, None, 5.0, 5.0), (62, -1e6, -1e6, 1e6, 1e6)]
+    b, p = spark.createDataFrame(boxes, "box long, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(at, "id long, x double, y double")
+    got = sorted((x.box, x.id) for x in nearest.in_boxes(b, p).collect())
+    assert got == [(k, i) for k, x0, y0, x1, y1 in boxes if y0 is not None for i, x, y in at if x is not None and x0 <= x <= x1 and y0 <= y <= y1]
+    assert nearest.in_boxes(b.where("box < 0"), p).count() == 0

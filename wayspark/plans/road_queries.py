@@ -10,6 +10,7 @@ from wayspark.config import GraphOptions
 from wayspark.functions import geo
 from wayspark.operators import graph as G
 from wayspark.operators.components import components
+from wayspark.operators.nearest import in_boxes
 from wayspark.plans.registry import query
 from wayspark.sources import roads
 from wayspark.sources.roads import LAT0, LON0, SQL
@@ -353,9 +354,7 @@ def nearest_segment(spark, sf):
 def nodes_in_corridor(spark, sf):
     n = _native(spark, sf).nodes
     box = n.groupBy("way_id").agg((F.min("x") - 30.0).alias("x0"), (F.max("x") + 30.0).alias("x1"), (F.min("y") - 30.0).alias("y0"), (F.max("y") + 30.0).alias("y1"))
-    left = G.cells(box, 100.0, "x0", "y0", "x1", "y1", 0.0)
-    right = _connected(spark, sf).nodes.select("id", "x", "y", F.floor(F.col("x") / 100).alias("cx"), F.floor(F.col("y") / 100).alias("cy"))
-    return left.join(right, ["cx", "cy"]).where("x between x0 and x1 and y between y0 and y1").select("way_id", "id")
+    return in_boxes(box, _connected(spark, sf).nodes.select("id", "x", "y")).select("way_id", "id")
 
 
 @query(SQL + ", p as (select way_id, avg(x) as cx, avg(y) as cy, max(x) - min(x) as w, max(y) - min(y) as h from nat group by way_id) select nat.way_id, pos, round(cx + (x - cx) * cos(5e-1) - (y - cy) * sin(5e-1) + 10e0, 6) as x, round(cy + (x - cx) * sin(5e-1) + (y - cy) * cos(5e-1) - 4e0, 6) as y from nat join p on nat.way_id = p.way_id")
