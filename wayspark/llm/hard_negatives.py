@@ -82,9 +82,17 @@ class Tree:
             return np.where(least == np.inf, -np.inf, (norm - least * least) / 2 + room), (norm - most * most) / 2 - room
 
 
+def _to(whole: np.ndarray, rows: np.ndarray, pivot: np.ndarray, some: int = 4096) -> np.ndarray:
+    """Distances of rows to a pivot, some rows at a time, as this runs on the driver."""
+    out = np.empty(len(rows))
+    for i in range(0, len(rows), some):
+        out[i : i + some] = np.sqrt(((whole[rows[i : i + some]] - pivot) ** 2).sum(1))
+    return out
+
+
 def fit(sample: np.ndarray, top: float, dim: int, depth: int) -> Tree:
     """Pivots and radii: of each node's sampled rows, of eight tried the one whose distances spread most, cut at their median."""
-    sample = sample.astype(float)
+    sample = sample.astype(float, copy=False)
     whole = np.hstack([sample, np.sqrt(np.maximum(top - (sample * sample).sum(1), 0))[:, None]])
     nodes = 2**depth - 1
     pivots, radius, own = np.zeros((nodes, dim + 1)), np.zeros(nodes), {0: np.arange(len(whole))}
@@ -92,7 +100,7 @@ def fit(sample: np.ndarray, top: float, dim: int, depth: int) -> Tree:
         rows = own.pop(k)
         if len(rows):
             tried = whole[rows[:: max(1, len(rows) // 8)][:8]]
-            d = np.sqrt(np.maximum(((whole[rows][None] - tried[:, None]) ** 2).sum(2), 0))
+            d = np.stack([_to(whole, rows, p) for p in tried])
             best = int(np.argmax(d.std(axis=1)))
             pivots[k], radius[k] = tried[best], np.median(d[best])
             out = d[best] > radius[k]
