@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wayspark.config import GraphOptions
 from wayspark.functions import geo
+from wayspark.operators import alike
 from wayspark.operators import graph as G
 from wayspark.operators.chains import first_anchors, ordered_nodes, ranked, thinned
 from wayspark.operators.graph import Graph
@@ -114,9 +115,9 @@ def merge_roads(graph: Graph, o: GraphOptions = GraphOptions()) -> Graph:
     short, and those with an end farther from it than the offset allows (twice the merge distance, 50 m at least, unless set).
     """
     graph = _saved(graph)
-    pairs = written(G.road_pairs(graph.edges, o.merge_distance_m, o.merge_angle_deg), "pairs")
-    ok = G.ways_ok(graph.edges, G.way_pairs(pairs), o.merge_min_overlap_m, o.merge_min_overlap_ratio, o.merge_angle_deg)
-    todo = written(G.merge_components(pairs, ok, o.merge_angle_deg), "members")
+    c = alike.courses(graph.edges, o.merge_distance_m, o.merge_angle_deg)
+    ok = alike.ok(c, o.merge_min_overlap_m, o.merge_min_overlap_ratio, o.merge_angle_deg)
+    todo = written(alike.merge_components(c, ok), "members")
     return merge_in_order(graph, todo, o)
 
 
@@ -213,7 +214,9 @@ def best_target(sources: DataFrame, targets: DataFrame, least: float, ratio: flo
     need = F.when(F.col("span") > 1e-6, F.greatest(F.lit(least), ratio * F.col("span"))).otherwise(F.lit(least))
     long = targets.join(endpoint_span(sources), "component").where(F.expr(geo.dist("ax", "ay", "bx", "by_")) + 1e-9 >= need)
     d = F.expr(geo.point_segment("x", "y", "ax", "ay", "bx", "by_"))
-    cost = _ends(sources).join(long, "component").groupBy("component", "eid").agg(F.round(F.sum(d * d), 4).alias("cost"), F.round(F.max(d), 6).alias("far"))
+    # ends of many edges in one place are measured once
+    ends = _ends(sources).groupBy("component", "id", "x", "y").agg(F.count(F.lit(1)).alias("n_ends"))
+    cost = ends.join(long, "component").groupBy("component", "eid").agg(F.round(F.sum(d * d * F.col("n_ends")), 4).alias("cost"), F.round(F.max(d), 6).alias("far"))
     return cost.groupBy("component").agg(F.min(F.struct("cost", "far", "eid")).alias("m")).select("component", "m.eid", "m.cost", "m.far")
 
 
