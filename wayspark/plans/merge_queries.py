@@ -27,7 +27,7 @@ PARTS = (
 @query(ROAD + " select least(wa, wb) as way_a, greatest(wa, wb) as way_b, a_eid, b_eid, row_number() over (partition by least(wa, wb), greatest(wa, wb) order by -round(score, 6), a_eid, b_eid) as rank from rd")
 def road_pair_rank(spark, sf):
     """Pairs of edges of each two ways, the best score first; rank 1 is the pair of ways' best."""
-    p = _road_pairs(spark, sf)[1].select(F.least("a_way_id", "b_way_id").alias("way_a"), F.greatest("a_way_id", "b_way_id").alias("way_b"), "a_eid", "b_eid", (-F.round("score", 6)).alias("s"))
+    p = _road_pairs(spark, sf, (-F.round("score", 6)).alias("s"))[1].select(F.least("a_way_id", "b_way_id").alias("way_a"), F.greatest("a_way_id", "b_way_id").alias("way_b"), "a_eid", "b_eid", "s")
     return p.withColumn("rank", F.row_number().over(W.partitionBy("way_a", "way_b").orderBy("s", "a_eid", "b_eid")).cast("long")).drop("s")
 
 
