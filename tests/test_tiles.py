@@ -94,3 +94,13 @@ def test_what_the_index_does_not_name_is_not_read(spark, tmp_path):
     broken.write.partitionBy("at", "tile").mode("append").parquet(str(tmp_path / "t" / "points"))
     assert store.points(one, 6.0).count() == 0
     assert held(store.fetch(one, points, 5.0)) == dict([plain(rows, 139.8, 35.7, 3000.0)])
+
+
+def test_queries_cut_tiles_without_a_limit_of_ways(spark):
+    from wayspark.plans import tile_queries
+    from wayspark.sources.tiles import cut, tiled
+
+    assert tile_queries._store(spark).max_ways is None
+    points = spark.createDataFrame([(w, p, 10 * w + p, 0.001 * p, 0.0, "service") for w in range(5) for p in range(2)], "way_id long, pos long, node_id long, lon double, lat double, highway string")
+    tiles = tiled(spark.createDataFrame([(0.0, 0.0, 400)], "lon double, lat double, radius_m int"))
+    assert {r.way_id for r in cut(tiles, points, 3).collect()} == {0, 1, 2} and {r.way_id for r in cut(tiles, points, None).collect()} == set(range(5))

@@ -39,13 +39,14 @@ def boxes(tiles: DataFrame) -> DataFrame:
     return keys.select("tile", (F.col("lat_key") - F.col("d")).alias("south"), (F.col("lon_key") - wide).alias("west"), (F.col("lat_key") + F.col("d")).alias("north"), (F.col("lon_key") + wide).alias("east"))
 
 
-def cut(tiles: DataFrame, points: DataFrame, max_ways: int = MAX_WAYS, cell: float = 0.05) -> DataFrame:
+def cut(tiles: DataFrame, points: DataFrame, max_ways: int | None = MAX_WAYS, cell: float = 0.05) -> DataFrame:
     """(tile, <points>) for ``tiles(tile, lon_key, lat_key, radius_key)``: the ways with a point in its box, whole; of more than ``max_ways`` those
-    of smallest id. Points meet boxes by cells of ``cell`` degrees, with the exact test after it."""
+    of smallest id; all if it is None. Points meet boxes by cells of ``cell`` degrees, with the exact test after it."""
     at = [F.floor(F.col(c) / cell).alias(k) for c, k in (("lon", "cx"), ("lat", "cy"))]
     met = points.where("lon + lat is not null").select("way_id", "lon", "lat", *at).join(cells(boxes(tiles), cell, "west", "south", "east", "north", 0.0), ["cx", "cy"])
     ways = met.where("lon between west and east and lat between south and north").select("tile", "way_id").distinct()
-    ways = ways.withColumn("k", F.row_number().over(W.partitionBy("tile").orderBy("way_id"))).where(F.col("k") <= max_ways).drop("k")
+    if max_ways is not None:
+        ways = ways.withColumn("k", F.row_number().over(W.partitionBy("tile").orderBy("way_id"))).where(F.col("k") <= max_ways).drop("k")
     return points.select("way_id", "pos", "node_id", "lon", "lat", "highway").join(ways, "way_id")
 
 
@@ -55,7 +56,8 @@ class TileStore:
 
     path: str
     ttl_s: int = TTL_S
-    max_ways: int = MAX_WAYS
+    #: of each tile that is cut from the source; None: all
+    max_ways: int | None = MAX_WAYS
 
     def _read(self, spark: SparkSession, what: str, schema: str, now: float) -> DataFrame:
         # an append of nothing makes the folder of a new store
