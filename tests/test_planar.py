@@ -85,3 +85,9 @@ def test_graphs_are_those_of_plain_loops(spark):
         assert abs(e.weight - math.dist((e.ux, e.uy), (e.vx, e.vy))) < 1e-12
     assert {g: sorted(x) for g, x in got.items()} == {g: plain_graph(s) for g, s in sketches.items()}
     assert planar.planar_edges(spark.createDataFrame([], "sketch_id long, stroke_id long, i int, x double, y double")).count() == 0
+
+
+def test_points_dealt_by_group_stay_where_they_are(spark):
+    rows = spark.createDataFrame([(g, k, k / 7, g / 3) for g in range(4) for k in range(9)], "group long, k long, x double, y double")
+    plan = planar.merged_spots(rows.repartition(3, "group"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
