@@ -2,10 +2,13 @@
 
 import math
 import random
+import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from wayspark.operators import planar
+from wayspark.operators.sketch import _one_path
 
 
 def plain_spots(points, near):
@@ -91,3 +94,14 @@ def test_points_dealt_by_group_stay_where_they_are(spark):
     rows = spark.createDataFrame([(g, k, k / 7, g / 3) for g in range(4) for k in range(9)], "group long, k long, x double, y double")
     plan = planar.merged_spots(rows.repartition(3, "group"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_long_lines_are_cut_without_a_loop_over_pairs():
+    n = 1500
+    line = pd.DataFrame({"component": 1, "stroke_id": 1, "i": range(n), "x": [float(k) for k in range(n)], "y": [float(k % 2) for k in range(n)]})
+    across = pd.DataFrame({"component": 1, "stroke_id": 2, "i": [0, 1], "x": [-0.5, n - 0.5], "y": [0.5, 0.5]})
+    start = time.perf_counter()
+    assert len(_one_path(line)) == n
+    assert time.perf_counter() - start < 2.5
+    walk = _one_path(pd.concat([line.head(40), across.assign(x=[-0.5, 39.5])]))
+    assert {(k + 0.5, 0.5) for k in range(39)} <= set(zip(walk["x"], walk["y"]))

@@ -149,30 +149,28 @@ def _one_path(rows: pd.DataFrame) -> pd.DataFrame:
     """One walk over all strokes of a connected sketch part: cut at crossings, odd vertices joined again by the
     shortest ways (as a path if that is no dearer than as a round), then a trail over every edge."""
     component, lines = int(rows["component"].iloc[0]), [g.sort_values("i")[["x", "y"]].to_numpy() for _, g in rows.groupby("stroke_id")]
-    segs = [(s, a, b) for s, line in enumerate(lines) for a, b in zip(line[:-1], line[1:])]
-    cuts: list[list[float]] = [[0.0, 1.0] for _ in segs]
-    for i, (s, a, b) in enumerate(segs):
-        for j in range(i + 1, len(segs)):
-            r, q, c = b - a, segs[j][2] - segs[j][1], segs[j][1]
-            den = r[0] * q[1] - r[1] * q[0]
-            if abs(den) > 1e-10:
-                t, u = ((c - a)[0] * q[1] - (c - a)[1] * q[0]) / den, ((c - a)[0] * r[1] - (c - a)[1] * r[0]) / den
-                if -1e-10 <= t <= 1 + 1e-10 and -1e-10 <= u <= 1 + 1e-10:
-                    cuts[i].append(min(1.0, max(0.0, t)))
-                    cuts[j].append(min(1.0, max(0.0, u)))
+    first, last = (np.concatenate([line[k] for line in lines]) for k in (slice(None, -1), slice(1, None)))
+    along = last - first
+    cuts: list[list[float]] = [[0.0, 1.0] for _ in first]
+    for i, (a, r) in enumerate(zip(first, along)):  # each segment with all later ones at once
+        q, c = along[i + 1 :], first[i + 1 :] - a
+        den = r[0] * q[:, 1] - r[1] * q[:, 0]
+        met = np.flatnonzero(np.abs(den) > 1e-10)
+        q, c, den = q[met], c[met], den[met]
+        t, u = (c[:, 0] * q[:, 1] - c[:, 1] * q[:, 0]) / den, (c[:, 0] * r[1] - c[:, 1] * r[0]) / den
+        for k in np.flatnonzero((t >= -1e-10) & (t <= 1 + 1e-10) & (u >= -1e-10) & (u <= 1 + 1e-10)):
+            cuts[i].append(min(1.0, max(0.0, float(t[k]))))
+            cuts[i + 1 + met[k]].append(min(1.0, max(0.0, float(u[k]))))
     where: dict[tuple[int, int], int] = {}
     xy: list[np.ndarray] = []
-
-    def vertex(p: np.ndarray) -> int:
-        key = tuple(np.round(p / 1e-6).astype(np.int64))
-        if key not in where:
-            where[key] = len(xy)
-            xy.append(p)
-        return where[key]
-
     edges = []
-    for (_, a, b), ts in zip(segs, cuts):
-        stops = [vertex(a + t * (b - a)) for t in sorted(set(ts))]
+    for a, r, ts in zip(first, along, cuts):
+        places, stops = a + np.array(sorted(set(ts)))[:, None] * r, []
+        for key, p in zip(map(tuple, np.round(places / 1e-6).astype(np.int64).tolist()), places):
+            if key not in where:
+                where[key] = len(xy)
+                xy.append(p)
+            stops.append(where[key])
         edges += [(u, v) for u, v in zip(stops[:-1], stops[1:]) if u != v]
     if not edges:
         return pd.DataFrame({"component": [component], "i": [0], "x": [lines[0][0][0]], "y": [lines[0][0][1]]})
@@ -181,8 +179,8 @@ def _one_path(rows: pd.DataFrame) -> pd.DataFrame:
     start = odd[0] if odd else edges[0][0]
     if len(odd) > 2:
         near: dict[int, list[tuple[int, float]]] = {}
-        for u, v in edges:
-            w = float(np.hypot(*(xy[u] - xy[v])))
+        places = np.array(xy)
+        for (u, v), w in zip(edges, np.hypot(*np.subtract(*places[np.array(edges).T]).T).tolist()):
             near.setdefault(u, []).append((v, w))
             near.setdefault(v, []).append((u, w))
         ways = {v: _ways_from(v, near) for v in odd}
