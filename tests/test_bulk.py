@@ -115,3 +115,13 @@ def test_boxes_of_all_sizes_hold_their_points(spark):
     got = sorted((x.box, x.id) for x in nearest.in_boxes(b, p).collect())
     assert got == [(k, i) for k, x0, y0, x1, y1 in boxes if y0 is not None for i, x, y in at if x is not None and x0 <= x <= x1 and y0 <= y <= y1]
     assert nearest.in_boxes(b.where("box < 0"), p).count() == 0
+
+
+def test_copies_of_a_chain_are_one_step(spark):
+    """Five edges in each place, some turned: the chain has no choice, so it is one step."""
+    from wayspark.operators.paths import contracted
+
+    cut = [(f"e{k}:{i}", *((i, i + 1) if (k + i) % 2 else (i + 1, i))) for k in range(5) for i in range(6)]
+    edges = spark.createDataFrame([(e, f"n{a}", f"n{b}", 3.0 * a, 4.0 * a, 3.0 * b, 4.0 * b) for e, a, b in cut], "eid string, u string, v string, ax double, ay double, bx double, by_ double")
+    steps = contracted(edges, spark.createDataFrame([("n0",), ("n6",)], "id string")).collect()
+    assert sorted((x.u, x.v, x.w, x.step) for x in steps) == [("n0", "n6", 30.0, 6), ("n6", "n0", 30.0, 6)]

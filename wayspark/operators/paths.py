@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayspark.functions import geo
 from wayspark.operators.components import components
+from wayspark.operators.graph import least_edges
 from wayspark.storage import written
 
 #: Steps between two writes.
@@ -18,8 +19,8 @@ STEPS = 4
 def contracted(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """(u, v, w, hops, x, y) both ways round: chains whose inner nodes have two edges and are not in ``keep(id)`` become
     one edge each, of the chain's length; of parallel ones the shortest stays, then that of fewer hops. x, y is v's
-    place. Rounds over the result are as many as there are choices on the way, not vertices."""
-    w = edges.select("eid", "u", "v", "ax", "ay", "bx", "by_", F.expr(geo.dist("ax", "ay", "bx", "by_")).alias("w")).where("u <> v")
+    place. Rounds over the result are as many as there are choices on the way, not vertices. Edges that lie on one another are one."""
+    w = least_edges(edges).select("eid", "u", "v", "ax", "ay", "bx", "by_", F.expr(geo.dist("ax", "ay", "bx", "by_")).alias("w")).where("u <> v")
     ends = written(w.select("eid", "w", F.inline(F.array(F.struct(F.col("u").alias("id"), F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("v").alias("id"), F.col("bx").alias("x"), F.col("by_").alias("y"))))), "ends")
     inner = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("eid").alias("a"), F.max("eid").alias("b")).where("n = 2").join(keep, "id", "left_anti")
     inner = written(inner, "inner")
