@@ -8,8 +8,10 @@ end, at half the probes. The cut is the one with fewer probes and candidates for
 give the same links. Copies are folded before any lookup: the index holds each distinct fingerprint once.
 
 ``keep_one`` is for corpora: documents whose sets of five-word shingles are 0.8 or more alike are one group. Four bits
-of 64 find few of these, so it uses a longer fingerprint (``Sketch``): segments looked up with balls of one bit, and
-256 bits more by which the distance of candidates is verified; an exact comparison of the shingle sets follows.
+of 64 find few of these, so it uses a longer fingerprint (``Sketch``): so many bits differ at 0.8 that more segments, looked up as
+they are, cost less than balls around fewer; and it has 256 bits more by which candidates are told apart; an exact comparison of the shingle sets follows. Of short texts these bits are
+the parities of 256 cells into which the shingles fall: sets that differ by m shingles differ in m parities at most, so no pair that is
+alike fails, and hardly any that isn't passes. Of long ones, whose parities are all noise, they are hyperplanes.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayspark.llm import arrowtext as A
-from wayspark.llm.common import arrow_rows, ascii_lower, free_name, let, table, words, written
+from wayspark.llm.common import among, arrow_rows, ascii_lower, free_name, let, table, words, written
 from wayspark.operators.components import components
 
 SHINGLE = 4
@@ -156,6 +158,8 @@ class Sketch:
     CELLS = 1024
     #: Longs of the 256 bits by which candidates are told apart.
     CHECKS = 4
+    #: Texts of so many shingles or fewer are told apart by parities.
+    SHORT = 320
 
     @staticmethod
     def flip(similarity: float) -> float:
@@ -163,11 +167,11 @@ class Sketch:
 
     @classmethod
     def sized(cls, n: int, similarity: float, recall: float) -> Sketch:
-        """Segments so wide that of n distinct documents some eight at random share one, and so many that a pair of just the
-        similarity meets in one of their balls of one bit with probability ``recall``, if flips were independent."""
-        width = min(30, max(12, math.ceil(math.log2(max(n, 2))) - 3))
-        p = cls.flip(similarity)
-        met = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+        """Segments so wide that of n distinct documents some 256 at random share one, and so many that a pair of just the
+        similarity has one in common with probability ``recall``, if flips were independent. (Comparing bits is cheap, a row for
+        each segment is not.)"""
+        width = min(30, max(8, math.ceil(math.log2(max(n, 2))) - 8))
+        met = (1 - cls.flip(similarity)) ** width
         return cls(width, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
     @staticmethod
@@ -203,31 +207,38 @@ def _shingle_sets(texts: pa.Array, shingle: int):
         yield lo, hi, gram[new], owner[new]
 
 
+def sketched(texts: pa.Array, how: Sketch, shingle: int) -> pa.Array:
+    """(n, whole, check, odd, keys) of each text: the number of its distinct shingles, a hash of their set, 256 bits of its
+    fingerprint, the parities of 256 cells, and its segments."""
+    free, planes, parts = 64 * how.CHECKS, how.planes(), []
+    for lo, hi, gram, row in _shingle_sets(texts, shingle):
+        n = np.bincount(row, minlength=hi - lo)
+        whole = np.zeros(hi - lo, dtype=np.uint64)
+        np.add.at(whole, row, A.mix(gram ^ np.uint64(SEED)))
+        sign = np.where(gram & np.uint64(1), 1.0, -1.0)
+        cells = np.bincount(row * how.CELLS + (gram >> np.uint64(54)).astype(np.int64), weights=sign, minlength=(hi - lo) * how.CELLS)
+        bits = (cells.reshape(hi - lo, how.CELLS) @ planes) > 0
+        check = np.packbits(bits[:, :free], axis=1, bitorder="little").view(np.int64)
+        odd = np.bincount(row * free + (gram >> np.uint64(20)).astype(np.int64) % free, minlength=(hi - lo) * free).reshape(hi - lo, free) & 1
+        odd = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+        keys = bits[:, free:].reshape(hi - lo, how.tables, how.width) @ (1 << np.arange(how.width, dtype=np.int64))
+        parts.append((n, whole.view(np.int64), check, odd, keys))
+    names = ["n", "whole", "check", "odd", "keys"]
+    if not parts:
+        return pa.array([], type=pa.struct([(name, pa.int64() if name in ("n", "whole") else pa.list_(pa.int64())) for name in names]))
+    n, whole, *bits = (np.concatenate(x) for x in zip(*parts))
+    lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel())) for x in bits]
+    return pa.StructArray.from_arrays([pa.array(n), pa.array(whole), *lists], names)
+
+
 def sketch(text: Column, how: Sketch, shingle: int) -> Column:
-    """(n, whole, check, keys) of a text: the number of its distinct shingles, a hash of their set, 256 bits of its
-    fingerprint, and its segments."""
-    free = 64 * how.CHECKS
+    """``sketched`` of a column."""
 
-    @F.arrow_udf("struct<n:bigint,whole:bigint,check:array<bigint>,keys:array<bigint>>")
-    def sketched(texts: pa.Array) -> pa.Array:
-        planes, parts = how.planes(), []
-        for lo, hi, gram, row in _shingle_sets(texts, shingle):
-            n = np.bincount(row, minlength=hi - lo)
-            whole = np.zeros(hi - lo, dtype=np.uint64)
-            np.add.at(whole, row, A.mix(gram ^ np.uint64(SEED)))
-            sign = np.where(gram & np.uint64(1), 1.0, -1.0)
-            cells = np.bincount(row * how.CELLS + (gram >> np.uint64(54)).astype(np.int64), weights=sign, minlength=(hi - lo) * how.CELLS)
-            bits = (cells.reshape(hi - lo, how.CELLS) @ planes) > 0
-            check = np.packbits(bits[:, :free], axis=1, bitorder="little").view(np.int64)
-            keys = bits[:, free:].reshape(hi - lo, how.tables, how.width) @ (1 << np.arange(how.width, dtype=np.int64))
-            parts.append((n, whole.view(np.int64), check, keys))
-        if not parts:
-            return pa.array([], type=pa.struct([("n", pa.int64()), ("whole", pa.int64()), ("check", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]))
-        n, whole, check, keys = (np.concatenate(x) for x in zip(*parts))
-        lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel())) for x in (check, keys)]
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(whole), *lists], ["n", "whole", "check", "keys"])
-
-    return sketched(text)
+    @F.arrow_udf("struct<n:bigint,whole:bigint,check:array<bigint>,odd:array<bigint>,keys:array<bigint>>")
+    def of(texts: pa.Array) -> pa.Array:
+        return sketched(texts, how, shingle)
+
+    return of(text)
 
 
 def shingle_set(text: Column, shingle: int) -> Column:
@@ -253,46 +264,54 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_links(own: DataFrame, rows: DataFrame, how: Sketch, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) between the nodes of ``own(uid, n, check, keys)``, enough to join all that are ``similarity`` alike
+    """Links (a, b) between the nodes of ``own(uid, n, check, odd, keys)``, enough to join all that are ``similarity`` alike
     and were met; ``rows(uid, text)`` gives the texts.
 
     First all members of a slot are compared with a few of them alone (``STARS`` picks by hash): a large group of near copies is joined
-    by a number of comparisons that grows with its members. Then balls are looked up, but only nodes that are not joined yet meet; of these each
-    one's nearest is compared first, and of the rest those that are still apart.
+    by a number of comparisons that grows with its members; slots of two segments at once serve for this. Then those of a slot
+    meet, but only nodes that are not joined yet; of these each one's nearest is compared first, and of the rest those that are still
+    apart. Short texts meet in slots of their own, told apart by parities; those nearly as long as the longest short ones meet the
+    long ones too, so no two texts alike are kept apart by their lengths.
     """
-    slot = lambda k, keys: F.transform(keys, lambda x: x + F.lit(k << 32).cast("long"))
-    key = lambda k: F.get("keys", k)
     # the bits of a check are columns a0, a1, .. and b0, b1, ..
     checks = lambda side: [F.get("check", F.lit(i)).alias(f"{side}{i}") for i in range(how.CHECKS)]
     far = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(how.CHECKS)), F.lit(0))
-    near = far <= Sketch.distance(similarity)
+    near = far <= F.col("room_a") + F.col("room_b")
+    # sets of a similarity s differ by (1 - s) / (1 + s) of their sizes together
+    short = F.struct(F.lit(0).cast("long").alias("kind"), F.col("odd").alias("check"), (F.col("n") * ((1 - similarity) / (1 + similarity)) + 1e-6).alias("room"))
+    long_ = F.struct(F.lit(1).cast("long").alias("kind"), F.col("check"), F.lit(Sketch.distance(similarity) / 2).alias("room"))
+    kinds = F.array_compact(F.array(F.when(F.col("n") <= how.SHORT, short), F.when(F.col("n") >= math.floor(similarity * how.SHORT), long_)))
+    own = own.select("uid", "keys", F.inline(kinds))
     sorted_ = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def sets(nodes: DataFrame) -> DataFrame:
-        return rows.join(nodes, "uid", "left_semi").select("uid", shingle_set(F.col("text"), shingle).alias("grams"))
+        return among(rows, "uid", nodes).select("uid", shingle_set(F.col("text"), shingle).alias("grams"))
 
     def rooted(nodes: DataFrame, links_: DataFrame) -> DataFrame:
         tied = components(links_).select(F.col("node").alias("uid"), F.col("component").alias("root"))
         return nodes.join(tied, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
-    def whole(*cols) -> DataFrame:
-        return own.select(*cols, F.explode(F.concat(*(slot(k, F.array(key(k))) for k in range(how.tables)))).alias("slot"))
+    def slots(rows_: DataFrame, *cols, step: int = 1) -> DataFrame:
+        """A row for each segment, or each ``step`` segments together, that a node has."""
+        key = lambda k: sum((F.shiftleft(F.get("keys", k + i), how.width * i) for i in range(1, step)), F.get("keys", k))
+        each = F.array(*(F.struct(F.lit(k).alias("table"), key(k).alias("key")) for k in range(0, how.tables - step + 1, step)))
+        return rows_.select(*cols, "kind", F.inline(each))
 
-    # of each slot the picks, each the smallest by another hash; in most slots they are the same one
+    # of each slot the picks, each the smallest by another hash; in most slots they are the same one. Most slots have one row, so rows
+    # are dealt before they are summed
     picks = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), "uid"))["uid"] for turn in range(STARS))))
-    some = whole("uid").groupBy("slot").agg(picks.alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("slot", F.explode("p").alias("a"))
-    some = some.join(own.select(F.col("uid").alias("a"), *checks("a")), "a")
-    stars = whole(F.col("uid").alias("b"), *checks("b")).join(some, "slot").where((F.col("a") != F.col("b")) & near)
+    slot = ["kind", "table", "key"]
+    some = slots(own, "uid", step=2).repartition(*slot).groupBy(*slot).agg(picks.alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*slot, F.explode("p").alias("a"))
+    some = some.join(own.select(F.col("uid").alias("a"), "kind", F.col("room").alias("room_a"), *checks("a")), ["a", "kind"])
+    stars = slots(own, F.col("uid").alias("b"), F.col("room").alias("room_b"), *checks("b"), step=2).join(some, slot).where((F.col("a") != F.col("b")) & near)
     stars = written(stars.select(*sorted_).distinct(), "stars")
     have = written(sets(stars.select(F.explode(F.array("a", "b")).alias("uid")).distinct()), "sets")
     first = written(_alike(stars, have, similarity), "joined")
     own = written(rooted(own, first), "rooted")
-    index = whole(F.col("uid").alias("b"), *checks("b"), F.col("root").alias("rb"))
-    balls = F.concat(*(F.transform(slot(k, _ball(key(k), how.width, 1)), lambda x, i: F.struct(x.alias("probe"), (i == 0).alias("whole"))) for k in range(how.tables)))
-    probes = own.select(F.col("uid").alias("a"), *checks("a"), F.col("root").alias("ra"), F.inline(balls))
-    met = probes.join(index, (F.col("probe") == F.col("slot")) & near & (F.col("ra") != F.col("rb")) & (~F.col("whole") | (F.col("a") < F.col("b"))))
+    side = lambda x: slots(own, F.col("uid").alias(x), F.col("room").alias(f"room_{x}"), *checks(x), F.col("root").alias(f"r{x}"))
+    met = side("a").join(side("b"), slot).where(near & (F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")))
     # a pair that was compared before failed then
-    pairs = written(met.select(*sorted_, far.alias("far")).distinct().join(stars, ["a", "b"], "left_anti"), "candidates")
+    pairs = written(met.select(*sorted_, far.alias("far")).groupBy("a", "b").agg(F.min("far").alias("far")).join(stars, ["a", "b"], "left_anti"), "candidates")
     ends = pairs.select("a", "b", "far").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
     have = have.unionByName(written(sets(ends.select(F.col("a").alias("uid")).distinct().join(have, "uid", "left_anti")), "sets"))
     nearest = ends.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
@@ -316,15 +335,15 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall:
     arrow_rows(docs.sparkSession)
     uid, col = free_name(docs, "row_key"), free_name(docs, "row_sketch")
     how = Sketch.sized(docs.count(), similarity, recall)
-    rows = written(docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(col, sketch(F.col("text"), how, shingle)), "keyed")
-    slim = rows.select("doc_id", F.col(uid).alias("uid"), F.col(f"{col}.n").alias("n"), F.col(f"{col}.whole").alias("whole"), F.col(f"{col}.check").alias("check"), F.col(f"{col}.keys").alias("keys"))
+    rows = written(docs.withColumn(uid, F.monotonically_increasing_id()).withColumn(col, sketch(F.col("text"), how, shingle)), "keyed", "zstd")
+    slim = rows.select("doc_id", F.col(uid).alias("uid"), F.col(f"{col}.n").alias("n"), F.col(f"{col}.whole").alias("whole"), *(F.col(f"{col}.{c}").alias(c) for c in ("check", "odd", "keys")))
     # equal sets are folded; their sketches are equal too
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("lead")
-    own = written(slim.groupBy("n", "whole").agg(lead, F.min("uid").alias("uid"), F.first("check").alias("check"), F.first("keys").alias("keys")), "own")
+    own = written(slim.groupBy("n", "whole").agg(lead, F.min("uid").alias("uid"), *(F.first(c).alias(c) for c in ("check", "odd", "keys"))), "own")
     texts = rows.select(F.col(uid).alias("uid"), "text")
     tied = components(similar_links(own.where("n > 0"), texts, how, shingle, similarity)).select(F.col("node").alias("uid"), F.col("component").alias("root"))
     leads = own.select("uid", "lead").join(tied, "uid", "left").groupBy(F.coalesce("root", "uid")).agg(F.min("lead").alias("lead")).select(F.col("lead.uid").alias(uid))
-    return rows.join(leads, uid, "left_semi").drop(uid, col)
+    return among(rows, uid, leads).drop(uid, col)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
