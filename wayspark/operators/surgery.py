@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wayspark.config import GraphOptions
 from wayspark.functions import geo
-from wayspark.operators import alike
+from wayspark.operators import alike, islands
 from wayspark.operators import graph as G
 from wayspark.operators.chains import first_anchors, ordered_nodes, ranked, thinned
 from wayspark.operators.graph import Graph
@@ -121,8 +121,36 @@ def merge_roads(graph: Graph, o: GraphOptions = GraphOptions()) -> Graph:
     return merge_in_order(graph, todo, o)
 
 
-def merge_in_order(graph: Graph, member: DataFrame, o: GraphOptions) -> Graph:
-    """``merge_roads`` for given components ``member(node, component)`` of edges."""
+def merge_in_order(graph: Graph, member: DataFrame, o: GraphOptions, most: int = islands.MOST) -> Graph:
+    """``merge_roads`` for given components ``member(node, component)`` of edges. Components that hang together by nodes are settled in one task, unless they
+    have more than ``most`` shapes; these go in rounds."""
+    held = written(member.join(graph.edges, member["node"] == graph.edges["eid"]).drop("node"), "held")
+    units = written(islands.units(held), "islands")
+    size = units.groupBy("island").agg(F.count(F.lit(1)).alias("n"))
+    large = written(size.where(F.col("n") > most).select("island"), "large")
+    alone = large.isEmpty()
+    small = units if alone else units.join(large, "island", "left_anti")
+    out = islands.settled(small, o)
+    of = lambda kind: out.where(F.col("kind") == kind)
+    done, moved = of("done").select("component"), of("move").select(F.col("u").alias("old"), F.col("v").alias("new"), F.col("bx").alias("nx"), F.col("by_").alias("ny"))
+    gone = held.join(done, "component", "left_semi")
+    rest = graph.edges.join(gone.select("eid"), "eid", "left_anti")
+    for side, x, y in (("u", "ax", "ay"), ("v", "bx", "by_")):
+        rest = rest.join(moved, rest[side] == moved["old"], "left").withColumns({side: F.coalesce("new", side), x: F.coalesce("nx", x), y: F.coalesce("ny", y)}).drop("old", "new", "nx", "ny")
+    about = gone.groupBy("component").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("way_ids")))).alias("way_ids"))
+    new = of("edge").join(about, "component").select(F.concat_ws(":", F.lit("roadmerge"), "component", F.col("i").cast("string")).alias("eid"), "way_id", "highway", "u", "v", "ax", "ay", "bx", "by_", "way_ids")
+    edges = written(rest.where("u <> v").select(graph.edges.columns).unionByName(new.select(graph.edges.columns)), "merged")
+    made = of("made").select(F.col("u").alias("id"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.array().cast("array<bigint>").alias("osm_ids"), *(F.lit(False).alias(c) for c in ("is_end", "merged_snap", "merged_osm")))
+    nodes = graph.nodes.join(of("gone").select(F.col("u").alias("id")), "id", "left_anti").unionByName(made)
+    graph = Graph(written(nodes, "nodes"), edges)
+    if alone:
+        return graph
+    left = units.join(large, "island", "left_semi").select("component").distinct()
+    return merge_in_rounds(graph, member.join(left, "component", "left_semi"), o)
+
+
+def merge_in_rounds(graph: Graph, member: DataFrame, o: GraphOptions) -> Graph:
+    """``merge_in_order`` over tables: all components that wait for no other are rewritten at once, round by round."""
     todo = member
     while True:
         held = written(todo.join(graph.edges, todo["node"] == graph.edges["eid"]).drop("node").join(primary_ways(graph.edges, todo), "component"), "held")
