@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayspark.functions import geo
+from wayspark.operators import alike
 from wayspark.operators import candidates as C
 from wayspark.operators import graph as G
 from wayspark.operators import surgery as X
 from wayspark.plans.registry import query
-from wayspark.plans.road_queries import MERGED, REACH, ROAD, _merge_components, _road_pairs, _r
+from wayspark.plans.road_queries import ANG, DIST, MERGED, REACH, ROAD, _connected, _merge_components, _r
 from wayspark.sources import roads
 from wayspark.sources.roads import SQL
 
@@ -27,8 +27,7 @@ PARTS = (
 @query(ROAD + " select least(wa, wb) as way_a, greatest(wa, wb) as way_b, a_eid, b_eid, row_number() over (partition by least(wa, wb), greatest(wa, wb) order by -round(score, 6), a_eid, b_eid) as rank from rd")
 def road_pair_rank(spark, sf):
     """Pairs of edges of each two ways, the best score first; rank 1 is the pair of ways' best."""
-    p = _road_pairs(spark, sf, (-F.round("score", 6)).alias("s"))[1].select(F.least("a_way_id", "b_way_id").alias("way_a"), F.greatest("a_way_id", "b_way_id").alias("way_b"), "a_eid", "b_eid", "s")
-    return p.withColumn("rank", F.row_number().over(W.partitionBy("way_a", "way_b").orderBy("s", "a_eid", "b_eid")).cast("long")).drop("s")
+    return alike.ranked(_connected(spark, sf).edges, DIST, ANG)
 
 
 @query(PARTS + "select c as component, round(span, 4) as span from span")
