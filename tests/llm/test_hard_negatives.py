@@ -73,3 +73,14 @@ def test_annulus_passes_over_leaves():
     s = x[:50] @ x.T
     assert (s <= best[:, leaf]).all() and (s >= least[:, leaf]).all()
     assert ((best < 0.5 * s.max(1)[:, None]) | (best == -np.inf)).mean() > 0.4
+
+
+def test_no_vectors_go_through_the_driver(spark, small_leaves):
+    """Tables of vectors are small files and large arrays, so none is broadcast, however small it looks."""
+    seen = lambda: {x.executionId(): x.physicalPlanDescription() for x in (lambda l: [l.apply(i) for i in range(l.size())])(spark._jsparkSession.sharedState().statusStore().executionsList())}
+    before = seen().keys()
+    r = np.random.default_rng(4)
+    rows = [(i, i % 3, r.normal(size=4).round(2).tolist()) for i in range(60)]
+    assert mined(spark, rows) == brute(rows)
+    plans = [p for k, p in seen().items() if k not in before]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)

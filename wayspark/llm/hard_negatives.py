@@ -273,13 +273,14 @@ def search(index: Index, anchors: DataFrame, k: int, same: bool) -> DataFrame:
         windows = F.transform("windows", lambda w, i: F.struct(floor(w, i).alias("lo"), w["hi"].alias("hi")))
         visits = open_.withColumn("windows", windows).select(F.explode("leaves").alias("leaf"), F.struct(*cols).alias("a"))
         pack = visits.groupBy("leaf", F.pmod(F.xxhash64("a.uid"), F.lit(packs)).alias("p")).agg(F.collect_list("a").alias("pack"))
-        pairs = pack.select("leaf", "pack").join(index.blocks, "leaf").select("pack", "ids", "labels", "vecs")
+        # merges throughout, as arrays of vectors are many times their files and a broadcast would go through the driver
+        pairs = pack.select("leaf", "pack").join(index.blocks.hint("merge"), "leaf").select("pack", "ids", "labels", "vecs")
         new = pairs.mapInArrow(_met(tree.dim, exact, k, same), "uid long, w long, score long, id long")
         old = open_.select("uid", F.posexplode("found").alias("w", "f")).select("uid", F.col("w").cast("long").alias("w"), F.inline("f"))
         best = new.unionByName(old).repartition("uid").withColumn("r", F.row_number().over(W.partitionBy("uid", "w").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k)
         got = best.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("w", "r", "score", "id"))).alias("got"))
         mine = F.transform(F.sequence(F.lit(0), F.size("windows") - 1), lambda w: F.transform(F.filter(F.coalesce("got", F.array()), lambda g: g["w"] == w), lambda g: F.struct(g["score"].alias("score"), g["id"].alias("id"))))
-        after = open_.drop("found", "leaves").join(got, "uid", "left").select(*cols, mine.cast(FOUND).alias("found"), "cursor")
+        after = open_.drop("found", "leaves").join(got.hint("merge"), "uid", "left").select(*cols, mine.cast(FOUND).alias("found"), "cursor")
         state = _one_batch(spark, BATCH, lambda: written(after, "found"))  # noqa: B023
         step *= GROWTH
 
@@ -304,7 +305,7 @@ def hard_negatives(vectors: DataFrame, anchor: Column, positives: int = POSITIVE
     asked = written(first.select("*", part("ceil", low).alias("lo"), part("floor", high).alias("hi")).where("lo <= hi"), "windows")
     windows = asked.groupBy("uid").agg(F.first("id").alias("id"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("windows"))
     found = search(index, windows, k, False).select("uid", F.explode(F.arrays_zip("windows", "found")).alias("x")).select("uid", F.col("x.windows.lo").alias("lo"), F.col("x.windows.hi").alias("hi"), F.posexplode("x.found").alias("r", "n"))
-    met = asked.select("uid", "id", "p", "lo", "hi").join(found, ["uid", "lo", "hi"])
+    met = asked.select("uid", "id", "p", "lo", "hi").join(found.hint("merge"), ["uid", "lo", "hi"])
     return met.select(F.col("id").alias("anchor_id"), F.col("p.id").alias("positive_id"), (F.col("r") + 1).cast("int").alias("rank"), F.col("n.id").alias("negative_id"), F.col("p.score").alias("positive_score"), F.col("n.score").alias("negative_score"))
 
 
